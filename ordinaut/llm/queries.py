@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
-from .common import read_table
+import public_tokenizers
+
+from . import media, packing, quality, toxicity, warc
+from .common import id_text, read_table, written
 
 
 def _remainder(n: int) -> Column:
@@ -24,18 +26,34 @@ def _scored(scores: DataFrame, n: int, held: int) -> DataFrame:
     )
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = media.mux_texts(id_text(read_table(spark, sf_dir, "documents")))
+    return media.digest_media(written(files, "media"))
+
+
+def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op7_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return _scored(quality.quality_scores(docs, labels, keep=_remainder(3) != 1), 3, 1)
 
 
+def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(id_text(read_table(spark, sf_dir, "documents")), public_tokenizers.path(packing.TOKENIZER), packing.SEQUENCE)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return _scored(toxicity.toxicity_scores(docs, labels, keep=_remainder(5) != 0), 5, 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media_columns": op2_media_columns,
+    "op6_warc_normaliser": op6_warc_normaliser,
     "op7_quality_ranking": op7_quality_ranking,
+    "op8_best_two_fit": op8_best_two_fit,
     "op10_toxicity": op10_toxicity,
 }
 
