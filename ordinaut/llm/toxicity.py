@@ -1,6 +1,6 @@
 """Toxicity scores by a character n-gram linear classifier whose features are scaled by naive Bayes log-count ratios.
 
-Features are the presence of hashed byte n-grams (orders 3 to 6) of the lower-cased whole text.  For each n-gram the
+Features are the presence of hashed byte n-grams (orders 4 to 8, with the blanks around words) of the lower-cased whole text.  For each n-gram the
 log ratio of its smoothed frequencies in toxic and in other training documents scales the feature; logistic regression
 on the scaled features gives the weights.  Scores are calibrated by the regression itself: 0.5 is its boundary.
 
@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text, slices, texts_of
+from .common import id_text, slices, texts_of, written
 
 #: Labelled documents that a fit looks at, at most: those with the smallest hash of the id.
-FIT_ROWS = 4000
-ORDERS = (3, 4, 5, 6)
-BITS = 18
+FIT_ROWS = 8000
+ORDERS = (4, 5, 6, 7, 8)
+BITS = 20
 _BLOCK = 1 << 20  # bytes of one text hashed at a time
 
 
@@ -67,19 +67,23 @@ class Scorer:
         return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
-def fit_scorer(docs: list[np.ndarray], toxic: np.ndarray, steps: int = 100, ridge: float = 2e-5, least: float = 0.006, even: float = 2.0) -> Scorer:
-    """docs: the distinct n-grams of each; toxic: their marks."""
+def log_count_ratios(up: np.ndarray, down: np.ndarray, n: int, least: float = 0.002, even: float = 1.5) -> np.ndarray:
+    """Log ratio of each n-gram's smoothed frequency in toxic (``up``) and other training documents, where that marks toxic
+    ones; 0 for n-grams rare among the ``n`` documents, even or commoner in others: a toxic text is clean but for a few
+    words, so that what is clean in it says nothing."""
+    ratio = np.log((up + 1.0) / (up + 1.0).sum()) - np.log((down + 1.0) / (down + 1.0).sum())
+    ratio[(up + down < max(4, least * n)) | (ratio < even)] = 0
+    return ratio
+
+
+def fit_scorer(docs: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, steps: int = 100, ridge: float = 2e-4) -> Scorer:
+    """docs: the distinct n-grams of each; toxic: their marks; ratio: the features' scales."""
     size = 1 << BITS
     n = len(docs)
     if not n or toxic.all() or not toxic.any():
         return Scorer(np.zeros(size, np.float32), 0.0 if not n else 6.0 if toxic.all() else -6.0)
-    lens = np.array([len(d) for d in docs])
     flat = np.concatenate(docs).astype(np.int64)
-    row = np.repeat(np.arange(n), lens)
-    up = np.bincount(flat[np.repeat(toxic, lens)], minlength=size) + 1.0
-    down = np.bincount(flat[np.repeat(~toxic, lens)], minlength=size) + 1.0
-    ratio = np.log(up / up.sum()) - np.log(down / down.sum())
-    ratio[(up + down < max(6, least * n)) | (np.abs(ratio) < even)] = 0  # rare or even n-grams say nothing about other documents
+    row = np.repeat(np.arange(n), [len(d) for d in docs])
     use = ratio[flat] != 0
     row, flat = row[use], flat[use]
     ids, col = np.unique(flat, return_inverse=True)
@@ -112,25 +116,41 @@ def learn(docs: DataFrame, labels: DataFrame, keep: Column | None = None, rows:
     chosen = chosen.where("mark = 1").orderBy(*order).limit(rows // 2).unionAll(chosen.where("mark <> 1").orderBy(*order).limit(rows - rows // 2))
     picked = spark.createDataFrame(chosen.toPandas().drop_duplicates("doc_id").astype("int64"), "doc_id long, mark long")
 
-    def run(batches):
+    # the picked ids are at most ``rows``, so they are small enough to send to every executor
+    sample = written(docs.join(F.broadcast(picked), "doc_id").select("doc_id", "mark", "text").dropDuplicates(["doc_id"]), "toxic-sample")
+
+    def count(batches):
+        grams, seen = Grams(), np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                for text, mark in zip(texts_of(part), part.column(1).to_pylist(), strict=True):
+                    seen[int(mark == 1), grams(text)] += 1
+        at = np.flatnonzero(seen.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[1, at]), pa.array(seen[0, at])], ["gram", "up", "down"])
+
+    # as many rows as the hash space has values, at most
+    totals = sample.mapInArrow(count, "gram long, up long, down long").groupBy("gram").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).toArrow()
+    up, down = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    at = totals["gram"].to_numpy()
+    up[at], down[at] = totals["up"].to_numpy(), totals["down"].to_numpy()
+    ratio = log_count_ratios(up, down, picked.count())
+    kept = ratio != 0
+
+    def select(batches):
         grams = Grams()
         for batch in batches:
             for part in slices(batch):
-                x = [grams(t).astype(np.uint32).tobytes() for t in texts_of(part)]
+                x = [g[kept[g]].astype(np.uint32).tobytes() for g in map(grams, texts_of(part))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.binary())], ["doc_id", "mark", "x"])
 
-    # the picked ids are at most ``rows``, so they are small enough to send to every executor
-    sample = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, x binary")
-    got = sample.toArrow().to_pydict()
-    first = {d: i for i, d in reversed(list(enumerate(got["doc_id"])))}
-    take = [first[d] for d in sorted(first)]
-    return fit_scorer([np.frombuffer(got["x"][i], np.uint32) for i in take], np.array([got["mark"][i] == 1 for i in take], bool))
+    got = sample.mapInArrow(select, "doc_id long, mark long, x binary").toArrow().sort_by("doc_id").to_pydict()
+    return fit_scorer([np.frombuffer(x, np.uint32) for x in got["x"]], np.array([m == 1 for m in got["mark"]], bool), ratio)
 
 
 def with_score(docs: DataFrame, scorer: Scorer, name: str) -> DataFrame:
     """All columns of ``docs`` (it has ``text``) and the score, without a shuffle."""
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # 1 MB whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # 4 MB whatever the input
 
     def run(batches):
         grams = Grams()
