@@ -15,6 +15,7 @@ are searched like any other.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,20 +122,45 @@ def _search(docs: DataFrame, items: Items, coverage: float, schema: T.StructType
     return docs.mapInArrow(run, schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc_id, item_id, matched_words, coverage, tiles`` for each pair of ``docs(doc_id, text)`` and
-    ``benchmark(item_id, text)`` whose coverage reaches the threshold."""
+def blocks_of(benchmark: DataFrame, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[int, Items]]:
+    """``(number of blocks, items)`` for each block of ``benchmark(item_id, text)``."""
     items = benchmark.select(F.col("item_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-int(chars) // block_chars) or 1
-    own = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = T._parse_datatype_string("doc_id long, item_id long, matched_words long, coverage double, tiles long")
-    found = None
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         got = block.orderBy("item_id", "text").toArrow().to_pydict()
-        part = _search(own, Items(got["item_id"], got["text"], least), coverage, schema)
+        yield blocks, Items(got["item_id"], got["text"], least)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``doc_id, item_id, matched_words, coverage, tiles`` for each pair of ``docs(doc_id, text)`` and
+    ``benchmark(item_id, text)`` whose coverage reaches the threshold."""
+    own = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = T._parse_datatype_string("doc_id long, item_id long, matched_words long, coverage double, tiles long")
+    found = None
+    for blocks, items in blocks_of(benchmark, least, block_chars):
+        part = _search(own, items, coverage, schema)
         if blocks > 1:
             part = written(part, "tiled")
         found = part if found is None else found.unionAll(part)
     return found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that no item contaminates."""
+    for blocks, items in blocks_of(benchmark, least, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # bounded by the block's size
+
+        def run(batches, shared=shared):
+            own = shared.value
+            for batch in batches:
+                for part in slices(batch, max_bytes=2 << 20):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[t for t, i, marked, _ in own.search(texts_of(part)) if marked >= coverage * own.words[i]]] = False
+                    yield part.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if blocks > 1:
+            docs = written(docs, "clean")
+    return docs
