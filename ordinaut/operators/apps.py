@@ -23,7 +23,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def monte_carlo_pi(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     inside = F.rand(seed) ** 2 + F.rand(seed + 1) ** 2 <= 1
-    return spark.range(n).agg((4 * F.count_if(inside) / F.lit(n)).alias("pi"))
+    return spark.range(n).select(inside.alias("inside")).agg((4 * F.count_if("inside") / F.lit(n)).alias("pi"))
 
 
 def jacobi_step(seq: Seq) -> Seq:
@@ -55,7 +55,7 @@ def conjugate_gradient(b: Seq, tolerance: float = 1e-10, most: int = 200) -> tup
         p = Seq(df, b.size, b.n_blocks, "p")
         zero = F.lit(0.0)
         ap = stencil(p.with_df(df.withColumn("q", F.col("p"))), 1, lambda i, v, left, right: 2 * v - F.coalesce(left[0], zero) - F.coalesce(right[0], zero)).df
-        df = checkpointed(ap.withColumnsRenamed({"p": "ap", "q": "p"}))
+        df = checkpointed(ap.select("idx", "x", "r", F.col("q").alias("p"), F.col("p").alias("ap")))
         alpha = rr / df.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
         df = df.select("idx", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
         new = df.agg(F.sum(F.col("r") * F.col("r"))).first()[0]

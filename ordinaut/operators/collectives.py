@@ -51,7 +51,8 @@ def allgather(df: DataFrame, order: Sequence[str], value: str, block: str = "blo
 
 def alltoall(df: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
     """Every row goes to its target: the two columns change names."""
-    return df.withColumnsRenamed({source: target, target: source})
+    names = {source: target, target: source}
+    return df.select(*(F.col(c).alias(names.get(c, c)) for c in df.columns))
 
 
 def alltoall_counts(df: DataFrame, source: Column, target: Column) -> DataFrame:

@@ -164,7 +164,7 @@ def fold_python(seq: Seq, zero: Any, update: Callable, merge: Callable, returns:
         return pd.DataFrame({"value": [functools.reduce(merge, pdf.sort_values("block")["part"].tolist(), zero)]})
 
     parts = with_block(seq).select("block", "idx", seq.v.alias("_v")).groupBy("block").applyInPandas(fold, schema)
-    return parts.groupBy(F.lit(1)).applyInPandas(join, f"value {returns}")
+    return parts.groupBy().applyInPandas(join, f"value {returns}")
 
 
 def statistics(seq: Seq) -> DataFrame:

@@ -15,7 +15,9 @@ from ..plans.blockscan import by_index, with_offsets, with_window
 from ..seq import Seq
 from .elementwise import Rule
 
-_FIRST = Window.partitionBy("_block").orderBy("idx")
+def _frame(last: int):
+    """From the beginning of a block to the row itself, or the one before it."""
+    return Window.partitionBy("_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, last)
 
 
 def scan(seq: Seq, op: str | Reduction = "sum", init: Any = None, exclusive: bool = False, rule: Rule | None = None) -> Seq:
@@ -26,7 +28,7 @@ def scan(seq: Seq, op: str | Reduction = "sum", init: Any = None, exclusive: boo
     rows = by_index(seq.df.withColumn("_x", value), seq.size, seq.n_blocks)
     combine = REDUCE_TOTALS.get(op, kind) if isinstance(op, str) else kind
     rows = with_offsets(rows, kind.agg(F.col("_x")), lambda t, w: combine.agg(t).over(w))
-    frame = _FIRST.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    frame = _frame(-1 if exclusive else 0)
     rows = rows.withColumn("_own", kind.agg(F.col("_x")).over(frame))
     parts = [F.col("_before"), F.col("_own")]
     if init is not None:
@@ -65,7 +67,7 @@ partial_sum = inclusive_scan
 def local_scan(seq: Seq, op: str | Reduction = "sum", exclusive: bool = False, identity: Any = None) -> Seq:
     """A scan that begins anew in every block; an exclusive one's first result is ``identity``."""
     kind = reduction(op)
-    frame = _FIRST.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    frame = _frame(-1 if exclusive else 0)
     own = kind.agg(seq.v).over(frame)
     if exclusive and identity is not None:
         own = F.coalesce(own, F.lit(identity))

@@ -63,7 +63,8 @@ def from_values(spark: SparkSession, values: Sequence, dtype: str = "int64", n_b
     """A Python list or NumPy array."""
     kind = TYPES[dtype]
     schema = T.StructType([T.StructField("idx", T.LongType(), False), T.StructField("value", kind, False)])
-    rows = [(i, v.item() if hasattr(v, "item") else v) for i, v in enumerate(values)]
+    cast = float if dtype.startswith("float") else lambda v: v.item() if hasattr(v, "item") else v
+    rows = [(i, cast(v)) for i, v in enumerate(values)]
     return Seq(spark.createDataFrame(rows, schema), len(rows), n_blocks)
 
 
