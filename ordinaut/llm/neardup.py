@@ -2,10 +2,11 @@
 
 Texts are multisets of five-word shingles; two are near duplicates when their weighted Jaccard similarity is 0.8 or
 more.  Texts of equal words are one class from the start and go on as their smallest id.  Texts that share a band key
-are candidates: in buckets of up to ``SMALL`` all pairs are verified; in larger ones every member is verified against
-centres, and then each member that has not joined the bucket's main component against all members of other components,
-so that no bucket emits all its pairs and no pair of different components goes untested.  Verified pairs are links; a
-class is a connected component of links.
+are candidates: in buckets of up to ``SMALL`` all pairs are verified; in larger ones every member is verified against two
+centres, and then each member outside the bucket's main component against the members of other components.  Before
+that, texts go whose shingles are in too few others for any link, and pairs that share too few of them or whose
+shingle profiles are too far apart: these bounds are exact.  So no bucket emits all its pairs, and no pair of different components goes untested that could be a link.  Verified
+pairs are links; a class is a connected component of links.
 
 A null text counts as empty; texts without a word are one class.  Rows with a null id are not compared: their class is
 null.  Rows that repeat an id are given the id's class.  Texts of fewer than five words are one shingle.
@@ -30,10 +31,12 @@ REGISTERS = 128
 SIMILAR = 0.8
 WIDTH = 5
 SMALL = 24
+PROFILE = 128  # the upper 7 bits of a hash
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id, words, bands``: a digest of the text's words in order, and its band keys (null without a word)."""
+    """``doc_id, words, size, bands``: a digest of the text's words in order, its number of shingles, and its band keys
+    (null without a word)."""
 
     def run(batches):
         for batch in batches:
@@ -45,9 +48,46 @@ def sketch(docs: DataFrame) -> DataFrame:
                 rows = signatures([k for k, _ in counted], [n for _, n in counted], REGISTERS)
                 keys = band_keys(rows, BANDS, PER_BAND).view(np.int64)
                 bands = [k if len(h) else None for k, h in zip(keys, own, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "words", "bands"])
+                sizes = pa.array([int(n.sum()) for _, n in counted], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), sizes, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "words", "size", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary, size long, bands array<long>")
+
+
+def unshared(texts: DataFrame) -> DataFrame:
+    """``rep, alone``: how many of a text's shingles no other of ``texts(doc_id, text)`` has.  A shingle that many have is
+    counted before the shuffle; none is listed with its texts."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, max_bytes=1 << 20):
+                hashes, at, _ = tokens(texts_of(part))
+                for i, doc in enumerate(part.column(0).to_pylist()):
+                    keys, n = np.unique(shingles(hashes[at[i] : at[i + 1]], WIDTH), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), doc)), pa.array(n)], ["shingle", "rep", "n"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(run, "shingle long, rep long, n long")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("rep").alias("rep"), F.min("n").alias("n")).where("texts = 1")
+    return once.groupBy("rep").agg(F.sum("n").alias("alone"))
+
+
+def profiles(texts: DataFrame) -> DataFrame:
+    """``rep, profile``: how many of a text's shingles fall into each of ``PROFILE`` classes of hashes.  The profiles of two
+    texts differ by no more than the texts do, so their distance bounds the similarity from above."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, max_bytes=1 << 20):
+                hashes, at, _ = tokens(texts_of(part))
+                counts = [np.bincount((shingles(hashes[at[i] : at[i + 1]], WIDTH) >> np.uint64(57)).astype(np.int64), minlength=PROFILE) for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.list_(pa.int64()))], ["rep", "profile"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, profile array<long>")
+
+
+def _apart(a, b):
+    """A number of shingles by which two texts differ at least."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -79,34 +119,48 @@ def _within(members: DataFrame) -> DataFrame:
     return first.select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b")).where("a <> b").distinct()
 
 
+def _reach(common, size, other):
+    """The similarity that a text of ``size`` shingles can have, at most, to one of ``other`` or more when no more than
+    ``common`` of its shingles are in both."""
+    return common / (size + F.greatest(other, common) - common)
+
+
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified pairs ``a, b`` among ``reps(rep, bands)``, with the texts of ``docs``."""
-    rows = reps.where("bands is not null").select("rep", F.explode("bands").alias("key"))
-    # the centres: the smallest id, and the smallest by two other orders, so that one odd member cannot stand alone for all
-    order = lambda k: F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("rep"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("c0"), F.min(order(1)).alias("c1"), F.min(order(2)).alias("c2")).where("n > 1")
-    members = written(rows.join(shared.select("key", "n", F.array("c0", "c1.rep", "c2.rep").alias("centres")), "key"), "buckets")
+    """Verified pairs ``a, b`` among ``reps(rep, size, bands)``, with the texts of ``docs``."""
+    rows = reps.where("bands is not null").select("rep", "size", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(rows.join(shared, "key"), "buckets")
     large = members.where(F.col("n") > SMALL)
-    star = large.select("rep", F.explode("centres").alias("c")).where("rep <> c").select(*_ordered(F.col("rep"), F.col("c"))).distinct()
+    # the centres: the member that meets most others over all large buckets, which is near the middle, and the smallest id
+    met = large.groupBy("rep").agg(F.sum("n").alias("met"))
+    centres = large.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", "rep")).alias("c"), F.min("rep").alias("low"))
+    star = large.join(centres.select("key", F.array("c.rep", "low").alias("centres")), "key").select("rep", F.explode("centres").alias("c"))
+    star = star.where("rep <> c").select(*_ordered(F.col("rep"), F.col("c")))
     pairs = written(_within(members.where(F.col("n") <= SMALL)).unionAll(star).distinct(), "pairs")
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     found = written(verified(pairs, texts), "links")
     if large.isEmpty():
         return found
-    while True:  # until every large bucket is one component, or all its pairs across components are tested
-        root = components(found)
-        placed = large.select("key", "rep").join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        counts = placed.groupBy("key", "root").agg(F.count("*").alias("k"))
-        main = counts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("k", "root")).alias("main")).where("parts > 1").drop("parts")
-        split = written(placed.join(main, "key"), "split")
-        odd = split.where("root <> main").select("key", F.col("rep").alias("x"), F.col("root").alias("rx"))
-        left = odd.join(split.select("key", "rep", "root"), "key").where("rx <> root").select(*_ordered(F.col("x"), F.col("rep"))).distinct()
-        left = written(left.join(pairs, ["a", "b"], "left_anti"), "rest")
-        if left.isEmpty():
-            return found
-        more = written(verified(left, texts), "links")
-        pairs, found = pairs.unionAll(left), found.unionAll(more)
+    # members of large buckets that are in no component with the others yet
+    root = components(found)
+    placed = large.select("key", "rep", "size").join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    counts = placed.groupBy("key", "root").agg(F.count("*").alias("k"), F.min("size").alias("least"))
+    main = counts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("k", "root")).alias("main"), F.min("least").alias("least")).where("parts > 1")
+    split = written(placed.join(main.select("key", "main", "least"), "key"), "split")
+    # a text whose shingles are in too few others has no link; what remains is held against all of the other components
+    alone = unshared(texts.join(split.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    split = split.join(alone, "rep", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
+    split = written(split.where(_reach(F.col("common"), F.col("size"), F.col("least")) >= SIMILAR), "split")
+    profile = profiles(texts.join(split.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    split = split.join(profile, "rep")
+    odd = split.where("root <> main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("rep", "root", "size", "common", "profile")))
+    both, total = F.least("common", "x_common"), F.col("size") + F.col("x_size")
+    # a similarity of s needs a difference of at most (1 - s) / (1 + s) of both sizes
+    close = (F.col("x_root") != F.col("root")) & (both >= SIMILAR * (total - both)) & (_apart(F.col("profile"), F.col("x_profile")) <= total * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-6)
+    left = odd.join(split.select("key", "rep", "root", "size", "common", "profile"), "key").where(close).select(*_ordered(F.col("x_rep"), F.col("rep"))).distinct()
+    left = written(left.join(pairs, ["a", "b"], "left_anti"), "rest")
+    return found.unionAll(written(verified(left, texts), "links"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -114,9 +168,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     documents of other words are linked to its text directly."""
     known = docs.where("doc_id is not null")
     sketches = written(sketch(known), "sketches")
-    reps = sketches.groupBy("words").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
+    reps = sketches.groupBy("words").agg(F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
     reps = written(reps, "reps")
-    found = links(reps.select("rep", "bands"), known)
+    found = links(reps.select("rep", "size", "bands"), known)
     root = components(found)
     degree = found.select(F.col("a").alias("rep")).unionAll(found.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = reps.select("words", "rep").join(root.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
