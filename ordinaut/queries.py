@@ -164,7 +164,7 @@ query("scan_product", _EV + f"SELECT idx, round(product(1 + (value % 7) / 1000.0
 )
 query("scan_min_exclusive", _EV + f"SELECT idx, coalesce(min(value) {_PRE}, 9223372036854775807) AS value FROM ev")(lambda s: S.scan(s, "min", F.lit(2**63 - 1).cast("long"), exclusive=True))
 query("local_scan_blocked", _EV + f", b AS (SELECT *, {_block()} AS block FROM ev) SELECT idx, cast(sum(value) OVER (PARTITION BY block ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS value FROM b")(S.local_scan)
-query("exscan_blocks", _EV + f", b AS (SELECT {_block()} AS block, sum(value) AS t FROM ev GROUP BY 1) SELECT block, cast(sum(t) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS value FROM b")(lambda s: S.block_scan(s, "sum", True))
+query("exscan_blocks", _EV + f", b AS (SELECT {_block()} AS block, sum(value) AS t FROM ev GROUP BY 1) SELECT block, cast(coalesce(sum(t) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS value FROM b")(lambda s: S.block_scan(s, "sum", True).withColumn("value", F.coalesce("value", F.lit(0))))
 query("adjacent_difference", _EV + "SELECT idx, coalesce(value - lag(value) OVER (ORDER BY idx), value) AS value FROM ev")(S.adjacent_difference)
 query("halo_sum", _EV + "SELECT idx, cast(sum(value) OVER (ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS value FROM ev")(
     lambda s: S.stencil(s, 2, lambda i, v, a, b: v + sum((F.coalesce(x, F.lit(0)) for x in (*a, *b)), F.lit(0)))
@@ -262,7 +262,7 @@ def map_query(name: str, sql: str):
 map_query("map_insert_keep_first", "SELECT key, value FROM m UNION ALL SELECT key, arg_min(value, seq) FROM r WHERE key NOT IN (SELECT key FROM m) GROUP BY key")(lambda m, r: m.insert(r).df)
 map_query("map_assign_keep_last", "SELECT key, value FROM m WHERE key NOT IN (SELECT key FROM r) UNION ALL SELECT key, arg_max(value, seq) FROM r GROUP BY key")(lambda m, r: m.assign(r).df)
 map_query("map_erase", "SELECT key, value FROM m WHERE key NOT IN (SELECT key FROM r WHERE value < 300)")(lambda m, r: m.erase(r.where("value < 300")).df)
-map_query("map_batch_find", "SELECT r.seq, r.key, m.value FROM r LEFT JOIN m ON r.key = m.key")(lambda m, r: m.find(r.select("seq", "key")).select("seq", "key", "value"))
+map_query("map_batch_find", "SELECT r.seq, r.key, coalesce(m.value, -1) AS value FROM r LEFT JOIN m ON r.key = m.key")(lambda m, r: m.find(r.select("seq", "key")).select("seq", "key", F.coalesce("value", F.lit(-1)).alias("value")))
 map_query("map_contains", "SELECT r.seq, m.key IS NOT NULL AS contains FROM r LEFT JOIN m ON r.key = m.key")(lambda m, r: m.contains(r.select("seq", "key")).select("seq", "contains"))
 map_query("map_word_count", "SELECT key, cast(sum(value) AS BIGINT) AS value FROM (SELECT key, value FROM m UNION ALL SELECT key, 1 FROM r) GROUP BY key")(lambda m, r: m.add(r.withColumn("value", F.lit(1))).df)
 map_query("map_size", "SELECT count(*) AS size FROM m")(lambda m, r: m.size())
