@@ -108,3 +108,27 @@ def test_stream_windows_match_batch(spark, tmp_path):
 
 def test_sequence_of_empty_blocks(spark):
     assert Seq(spark.range(0).select(F.col("id").alias("idx"), F.col("id").alias("value")), 0).checked().size == 0
+
+
+def test_actions_and_observations(spark):
+    from ordinaut import actions, observe
+
+    if "double" not in actions._ACTIONS:
+
+        @actions.action("double", "id long")
+        def _double(frames):
+            for pdf in frames:
+                yield pdf * 2
+
+    assert rows(actions.call(spark.range(3), "double")) == [(0,), (2,), (4,)]
+    with pytest.raises(InvalidArgument):
+        actions.call(spark.range(3), "none such")
+    actions.register_sql(spark, "plus_one", lambda x: x + 1, "long")
+    assert spark.sql("select plus_one(1)").first()[0] == 2
+    df, seen = observe.observed(spark.range(5), "passed", **observe.histogram(F.col("id")))
+    df.collect()
+    assert seen.get == {"count": 5, "sum": 10, "min": 0, "max": 4}
+    took = {}
+    with observe.timed(took, "x"):
+        pass
+    assert took["x"] >= 0
