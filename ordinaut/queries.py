@@ -119,8 +119,8 @@ for _op, _sql in {"sum": "10 + sum(value)", "min": "least(10, min(value))", "max
     query(f"reduce_{_op}", _EV + f"SELECT cast({_sql} AS BIGINT) AS value FROM ev")(lambda s, op=_op: R.reduce(s, op, F.lit(10).cast("long")))
 for _op, _sql in {"land": "bool_and(value > 0)", "lor": "bool_or(value > 0)", "lxor": "count(*) FILTER (WHERE value > 0) % 2 = 1"}.items():
     query(f"reduce_{_op}", _EV + f"SELECT {_sql} AS value FROM ev")(lambda s, op=_op: R.transform_reduce(s, lambda v: v > 0, op))
-query("reduce_product", _EV + "SELECT round(product(1 + (value % 7) / 1000.0), 6) AS value FROM ev WHERE idx < 500")(
-    lambda s: R.transform_reduce(E.take(s, 500), lambda v: 1 + (v % 7) / F.lit(1000.0), "product").select(F.round("value", 6).alias("value"))
+query("reduce_product", _EV + "SELECT round(product(1 + (value % 7) / 10000000.0), 6) AS value FROM ev")(
+    lambda s: R.transform_reduce(s, lambda v: 1 + (v % 7) / F.lit(10000000.0), "product").select(F.round("value", 6).alias("value"))
 )
 query("distributed_reduce", _EV + f", b AS (SELECT {_block()} AS block, value FROM ev) SELECT block, cast(sum(value) AS BIGINT) AS local, cast(sum(sum(value)) OVER () AS BIGINT) AS global FROM b GROUP BY block")(lambda s: R.distributed_reduce(s, "sum"))
 query("transform_reduce", _EV + "SELECT cast(sum(value * value % 1009) AS BIGINT) AS value FROM ev")(lambda s: R.transform_reduce(s, lambda v: v * v % 1009, "sum"))
@@ -159,8 +159,8 @@ query("scan_min", _EV + f"SELECT idx, min(value) {_UP} AS value FROM ev")(lambda
 query("scan_max", _EV + f"SELECT idx, max(value) {_UP} AS value FROM ev")(lambda s: S.scan(s, "max"))
 query("scan_band", _EV + f"SELECT idx, bit_and(value | 1) {_UP} AS value FROM ev")(lambda s: S.scan(s, "band", rule=lambda v: v.bitwiseOR(F.lit(1).cast("long"))))
 query("scan_bor", _EV + f"SELECT idx, bit_or(value % 64) {_UP} AS value FROM ev")(lambda s: S.scan(s, "bor", rule=lambda v: v % 64))
-query("scan_product", _EV + f"SELECT idx, round(product(1 + (value % 7) / 1000.0) {_UP}, 6) AS value FROM ev WHERE idx < 500")(
-    lambda s: E.transform(S.scan(E.transform(E.take(s, 500), lambda v: 1 + (v % 7) / F.lit(1000.0)), "product"), lambda v: F.round(v, 6))
+query("scan_product", _EV + f"SELECT idx, round(product(1 + (value % 7) / 10000000.0) {_UP}, 6) AS value FROM ev")(
+    lambda s: E.transform(S.scan(E.transform(s, lambda v: 1 + (v % 7) / F.lit(10000000.0)), "product"), lambda v: F.round(v, 6))
 )
 query("scan_min_exclusive", _EV + f"SELECT idx, coalesce(min(value) {_PRE}, 9223372036854775807) AS value FROM ev")(lambda s: S.scan(s, "min", F.lit(2**63 - 1).cast("long"), exclusive=True))
 query("local_scan_blocked", _EV + f", b AS (SELECT *, {_block()} AS block FROM ev) SELECT idx, cast(sum(value) OVER (PARTITION BY block ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS value FROM b")(S.local_scan)
@@ -280,7 +280,9 @@ query("custom_owner", _EV + "SELECT idx, (idx * 7) % 4 AS owner FROM ev")(lambda
 query("allreduce_per_block", _EV + f", b AS (SELECT DISTINCT {_block()} AS block FROM ev), t AS (SELECT max(value) AS value FROM ev) SELECT block, value FROM b, t")(lambda s: C.allreduce(R.with_block(s), "value", "max"))
 query("alltoall_counts", _EV + f"SELECT {_block()} AS src, value % {BLOCKS} AS dst, count(*) AS n FROM ev GROUP BY 1, 2")(lambda s: C.alltoall_counts(s.df, P.block_owner(s.idx, s.size, BLOCKS), s.v % BLOCKS))
 query("scatter_counts", _EV + "SELECT idx, value, CASE WHEN idx < 100 THEN 0 WHEN idx < 350 THEN 1 ELSE 2 END AS block FROM ev")(lambda s: C.scatter_counts(s, [100, 250, s.size - 350]).withColumn("block", F.col("block").cast("int")))
-query("gather", _EV + "SELECT string_agg(cast(value AS VARCHAR), ',' ORDER BY idx) AS joined FROM ev WHERE idx < 50")(lambda s: C.gather(E.take(s, 50).df, ["idx"], "value").select(F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("joined")))
+query("gather", _EV + f", b AS (SELECT {_block()} AS block, cast(sum(value) AS BIGINT) AS local FROM ev GROUP BY 1) SELECT string_agg(cast(local AS VARCHAR), ',' ORDER BY block) AS joined FROM b")(
+    lambda s: C.gather(R.block_reduce(s, "sum"), ["block"], "local").select(F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("joined"))
+)
 query("roles_reduce", _EV + f", b AS (SELECT value, {_block()} AS block FROM ev) SELECT CASE WHEN block < 2 THEN 'coordinator' WHEN block % 2 = 0 THEN 'even' ELSE 'worker' END AS role, cast(sum(value) AS BIGINT) AS value FROM b GROUP BY 1")(
     lambda s: C.with_role(R.with_block(s), {"coordinator": C.first_n(2), "even": C.every_nth(2), "worker": lambda b: F.lit(True)}).groupBy("role").agg(F.sum("value").alias("value"))
 )
