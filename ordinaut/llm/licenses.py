@@ -1,6 +1,6 @@
 """License scans by canonical digest lookup.
 
-A text is put into a canonical form (lower case, copyright lines dropped, punctuation and white space folded, one of
+A text is put into a canonical form (ASCII letters in lower case, copyright lines dropped, punctuation and white space folded, one of
 each pair of equivalent spellings) and its SHA-256 is hash-joined to the digests of known licences.  Whole texts are
 looked up, and so is every line of a text, which finds the notices that documents carry.  All of it is Column
 expressions; known texts go through the same ones, so both sides always agree.
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Known texts are written in these; ``lower`` over all of Unicode takes five times the rest together.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
 
 # Pairs of spellings that licence matching treats as equal (the first becomes the second).
@@ -72,25 +74,39 @@ KNOWN = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form: words that one blank separates."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
+
+
+_PAIRS = [(_spaced(old), _spaced(new)) for old, new in SPELLINGS]
+_FIRST = sorted({old[1] for old, _ in _PAIRS})
+#: Any spelling to replace, by its first letter, so that most words are done with after one.
+_ANY = f"  (?=[{''.join(_FIRST)}])(?:" + "|".join(f"{c}(?:" + "|".join(old.strip()[1:] for old, _ in _PAIRS if old[1] == c) + ")" for c in _FIRST) + ")  "
+
+
+def with_canonical(df: DataFrame, column: str) -> DataFrame:
+    """``column`` replaced by its canonical form: words that one blank separates.  Each step is a projection of its own, so
+    that none is worked out again where the next one names it twice."""
+    text = F.regexp_replace(F.translate(F.coalesce(column, F.lit("")), UPPER, UPPER.lower()), COPYRIGHT_LINE, " ")
     # two blanks around each word, so that neighbouring replacements don't share one
-    out = F.concat(F.lit("  "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  ")), F.lit("  "))
-    for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
-    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+    df = df.withColumn(column, F.concat(F.lit("  "), F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "  ")), F.lit("  ")))
+    # most texts have none of the spellings, and one pattern tells them from the others
+    pairs = F.array(*(F.struct(F.lit(old).alias("old"), F.lit(new).alias("new")) for old, new in _PAIRS))
+    found = F.col(column).rlike(_ANY)
+    df = df.withColumn(column, F.when(found, F.aggregate(pairs, F.col(column), lambda t, p: F.replace(t, p["old"], p["new"]))).otherwise(F.col(column)))
+    return df.withColumn(column, F.trim(F.replace(F.col(column), F.lit("  "), F.lit(" "))))
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form in lowercase hex; null where that is empty."""
-    return F.sha2(F.nullif(canonical(text), F.lit("")).cast("binary"), 256)
+def with_digest(df: DataFrame, column: str) -> DataFrame:
+    """``column`` replaced by ``digest``: SHA-256 of its canonical form in lowercase hex; null where that is empty."""
+    df = with_canonical(df, column)
+    return df.withColumn("digest", F.when(F.col(column) != "", F.sha2(F.col(column).cast("binary"), 256))).drop(column)
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame = KNOWN) -> DataFrame:
     """``digest, license_id`` of known texts, from a list or a table ``license_id, text``."""
     table = known if isinstance(known, DataFrame) else spark.createDataFrame(known, "license_id string, text string")
-    return table.select("license_id", digest(F.col("text")).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return with_digest(table.select("license_id", "text"), "text").where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -98,19 +114,19 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     licence, and the sorted licences whose notice is a whole line.  Only lines that are known go back to their texts;
     Spark sends the known digests to every executor while they are small and shuffles both sides beyond that."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = rows.select("doc_id", digest(F.col("text")).alias("digest")).join(known, "digest", "left")
+    whole = with_digest(rows, "text").join(known, "digest", "left")
     lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    found = lines.select("doc_id", digest(F.col("line")).alias("digest")).join(known, "digest")
+    found = with_digest(lines, "line").join(known, "digest")
     notices = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     return whole.join(notices, "doc_id", "left").select("doc_id", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def _sql_canonical(text: str) -> str:
     """The same form for DuckDB."""
-    out = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', ' ', 'g')"
+    out = f"regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{UPPER.lower()}'), '{COPYRIGHT_LINE}', ' ', 'g')"
     out = f"'  ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || '  '"
     for old, new in SPELLINGS:
-        out = f"replace({out}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+        out = f"replace({out}, '{_spaced(old)}', '{_spaced(new)}')"
     return f"nullif(trim(replace({out}, '  ', ' ')), '')"
 
 

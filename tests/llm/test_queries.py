@@ -75,7 +75,7 @@ def test_license_scan(spark):
 def test_spelling_pairs(spark):
     a = "The licence, sub-licence; and SUB LICENSE of the organisation's programme at https://x. Licence licence"
     b = "the license sublicense and sublicense of the organization s program at http x license license"
-    got = spark.createDataFrame([(a,), (b,)], "t string").select(licenses.canonical(F.col("t"))).collect()
+    got = licenses.with_canonical(spark.createDataFrame([(a,), (b,)], "t string"), "t").collect()
     assert got[0][0] == got[1][0] == b
 
 
