@@ -105,7 +105,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep = [multiset_jaccard(words[x], words[y], WIDTH) >= SIMILAR for x, y in zip(a, b, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    # neither side has a bound, so neither is sent to every executor, however small it looks
+    return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _ordered(a, b) -> list:
@@ -138,7 +139,7 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     star = star.where("rep <> c").select(*_ordered(F.col("rep"), F.col("c")))
     pairs = written(_within(members.where(F.col("n") <= SMALL)).unionAll(star).distinct(), "pairs")
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = written(docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     found = written(verified(pairs, texts), "links")
     if large.isEmpty():
         return found
