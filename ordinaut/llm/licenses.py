@@ -1,6 +1,6 @@
 """License scans by canonical digest lookup.
 
-A text is put into a canonical form (ASCII letters in lower case, copyright lines dropped, punctuation and white space folded, one of
+A text is put into a canonical form (lower case, copyright lines dropped, punctuation and white space folded, one of
 each pair of equivalent spellings) and its SHA-256 is hash-joined to the digests of known licences.  Whole texts are
 looked up, and so is every line of a text, which finds the notices that documents carry.  All of it is Column
 expressions; known texts go through the same ones, so both sides always agree.
@@ -14,8 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Known texts are written in these; ``lower`` over all of Unicode takes five times the rest together.
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
 
 # Pairs of spellings that licence matching treats as equal (the first becomes the second).
@@ -87,7 +85,7 @@ _ANY = f"  (?=[{''.join(_FIRST)}])(?:" + "|".join(f"{c}(?:" + "|".join(old.strip
 def with_canonical(df: DataFrame, column: str) -> DataFrame:
     """``column`` replaced by its canonical form: words that one blank separates.  Each step is a projection of its own, so
     that none is worked out again where the next one names it twice."""
-    text = F.regexp_replace(F.translate(F.coalesce(column, F.lit("")), UPPER, UPPER.lower()), COPYRIGHT_LINE, " ")
+    text = F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), COPYRIGHT_LINE, " ")
     # two blanks around each word, so that neighbouring replacements don't share one
     df = df.withColumn(column, F.concat(F.lit("  "), F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "  ")), F.lit("  ")))
     # most texts have none of the spellings, and one pattern tells them from the others
@@ -116,14 +114,15 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     whole = with_digest(rows, "text").join(known, "digest", "left")
     lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    found = with_digest(lines, "line").join(known, "digest")
+    # never null, or the join's test for nulls would work out every line's digest once more, below the steps
+    found = with_digest(lines, "line").withColumn("digest", F.coalesce("digest", F.lit(""))).join(known, "digest")
     notices = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     return whole.join(notices, "doc_id", "left").select("doc_id", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def _sql_canonical(text: str) -> str:
     """The same form for DuckDB."""
-    out = f"regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{UPPER.lower()}'), '{COPYRIGHT_LINE}', ' ', 'g')"
+    out = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', ' ', 'g')"
     out = f"'  ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || '  '"
     for old, new in SPELLINGS:
         out = f"replace({out}, '{_spaced(old)}', '{_spaced(new)}')"

@@ -79,6 +79,13 @@ def test_spelling_pairs(spark):
     assert got[0][0] == got[1][0] == b
 
 
+def test_license_case_is_folded_in_every_alphabet(spark):
+    known = licenses.known_digests(spark, [("ES", "Licencia Española, versión única"), ("RU", "Лицензия с Открытым кодом")])
+    rows = docs(spark, (1, "LICENCIA ESPAÑOLA, VERSIÓN ÚNICA"), (2, "лицензия С ОТКРЫТЫМ КОДОМ"), (3, "x\nlicencia espaÑola versiÓn Única\ny"), (4, "ÜBER Στο"), (5, "über ΣΤΟ"))
+    got = {r[0]: r[1:] for r in collected(licenses.scan(rows, known), "doc_id", "license_id", "notices", "digest")}
+    assert [got[i][:2] for i in (1, 2, 3)] == [("ES", "ES"), ("RU", "RU"), (None, "ES")] and got[4][2] == got[5][2]
+
+
 def test_media_columns(spark):
     files = media.mux_texts(id_text(docs(spark, *ODD)))
     got = media.digest_media(files).collect()
