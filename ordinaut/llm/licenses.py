@@ -1,6 +1,6 @@
 """License scans by canonical digest lookup.
 
-A text is put into a canonical form (lower case, copyright lines dropped, punctuation and white space folded, one of
+A text is put into a canonical form (lower case, copyright statements dropped, punctuation and white space folded, one of
 each pair of equivalent spellings) and its SHA-256 is hash-joined to the digests of known licences.  Whole texts are
 looked up, and so is every line of a text, which finds the notices that documents carry.  All of it is Column
 expressions; known texts go through the same ones, so both sides always agree.
@@ -14,7 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Only the oracle's, which has no lookahead.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
+# What follows "copyright" in running text, in capitals or as a heading, where a statement has a name.
+_NO_NAME = "notices?|holders?|owners?|licen[sc]e[sd]?|laws?|acts?|treat(?:y|ies)|rights?|statements?|permissions?|protections?|interests?|infringements?|claims?|terms?|status|disclaimers?|and|or|in|is|on|of|for|to|under|as|with|that|which|may|shall|will"
+_NO_ITEM = "you|your|the|this|these|that|such|any|all|each|every|no|if|in|on|a|an|for|to|under|where|when|use|it|its|every|notwithstanding|except|other"
+#: A line that is a copyright statement, before its case is folded, as a name shows by its capital: the word with a sign, a year or a name
+#: after it, or a sign with a year or a name.  Running text may begin a line with the word as well, wherever it was wrapped, and a list with "(c)".
+COPYRIGHT_STATEMENT = (
+    rf"(?m)^[ \t]*(?:©|\([cC]\)[ \t]*(?:(?i:copyright)|(?:19|20)\d\d\b|(?!(?i:{_NO_ITEM})\b)\p{{Lu}})|(?i:copyright)[ \t:,-]*(?i:\(c\)|©|&copy;|(?:19|20)\d\d\b)"
+    rf"|(?:Copyright|COPYRIGHT):?[ \t]+(?i:by[ \t]+)?(?i:the[ \t]+)?(?!(?i:{_NO_NAME})\b)[\p{{Lu}}<\[{{])[^\n]*$"
+)
 
 # Pairs of spellings that licence matching treats as equal (the first becomes the second).
 SPELLINGS = [
@@ -85,7 +95,7 @@ _ANY = f"  (?=[{''.join(_FIRST)}])(?:" + "|".join(f"{c}(?:" + "|".join(old.strip
 def with_canonical(df: DataFrame, column: str) -> DataFrame:
     """``column`` replaced by its canonical form: words that one blank separates.  Each step is a projection of its own, so
     that none is worked out again where the next one names it twice."""
-    text = F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), COPYRIGHT_LINE, " ")
+    text = F.lower(F.regexp_replace(F.coalesce(column, F.lit("")), COPYRIGHT_STATEMENT, " "))
     # two blanks around each word, so that neighbouring replacements don't share one
     df = df.withColumn(column, F.concat(F.lit("  "), F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "  ")), F.lit("  ")))
     # most texts have none of the spellings, and one pattern tells them from the others

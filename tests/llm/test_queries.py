@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import os
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -86,6 +87,14 @@ def test_license_case_is_folded_in_every_alphabet(spark):
     assert [got[i][:2] for i in (1, 2, 3)] == [("ES", "ES"), ("RU", "RU"), (None, "ES")] and got[4][2] == got[5][2]
 
 
+def test_license_texts_wrap_anywhere(spark):
+    statements = ("Copyright (c) 2020 A. Body", "copyright © A. Body", "Copyright 2019-2021 the authors", "COPYRIGHT JANE DOE", "Copyright by The Regents", "Copyright <year> <owner>", "(c) 2020 me", "(C) Jane Doe")
+    texts = [(i, s + "\n\n" + "\n\n".join(textwrap.fill(p, width) for p in t.split("\n\n"))) for (i, t), s in zip(licenses.KNOWN[:8], itertools.cycle(statements)) for width in (*range(50, 91), 20)]
+    texts += [("MIT", s + "\n" + licenses.KNOWN[1][1]) for s in statements]
+    got = dict(collected(licenses.scan(docs(spark, *((k, t) for k, (_, t) in enumerate(texts))), licenses.known_digests(spark)), "doc_id", "license_id"))
+    assert [got[k] for k in range(len(texts))] == [i for i, _ in texts]
+
+
 def test_media_columns(spark):
     files = media.mux_texts(id_text(docs(spark, *ODD)))
     got = media.digest_media(files).collect()
