@@ -11,7 +11,9 @@ once each.  Known licences with equal canonical forms are told apart by the smal
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Only the oracle's, which has no lookahead.
@@ -65,7 +67,7 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution."""
 _ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 
-# Known licences and notices.
+# Known licences and notices; the longer texts are the files of ``known``.
 KNOWN = [
     ("MIT", "MIT License\n\n" + _MIT),
     ("MIT", _MIT),
@@ -82,6 +84,20 @@ KNOWN = [
 ]
 
 
+#: Where the terms of some texts end; an appendix follows that is often left out.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """``KNOWN``, and the texts of the files ``known/<licence>.txt``, each with and without what follows its terms."""
+    out = list(KNOWN)
+    for file in sorted((Path(__file__).parent / "known").glob("*.txt")):
+        text = file.read_text("utf-8")
+        at = text.find(TERMS_END)
+        out += [(file.stem, text)] + ([(file.stem, text[:at] + TERMS_END), (file.stem, text[:at])] if at >= 0 else [])
+    return out
+
+
 def _spaced(words: str) -> str:
     return f" {words.replace(' ', '  ')} "
 
@@ -111,9 +127,9 @@ def with_digest(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("digest", F.when(F.col(column) != "", F.sha2(F.col(column).cast("binary"), 256))).drop(column)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame = KNOWN) -> DataFrame:
-    """``digest, license_id`` of known texts, from a list or a table ``license_id, text``."""
-    table = known if isinstance(known, DataFrame) else spark.createDataFrame(known, "license_id string, text string")
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
+    """``digest, license_id`` of known texts, from a list or a table ``license_id, text``; those of ``known_texts`` by default."""
+    table = known if isinstance(known, DataFrame) else spark.createDataFrame(known_texts() if known is None else known, "license_id string, text string")
     return with_digest(table.select("license_id", "text"), "text").where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 

@@ -95,6 +95,18 @@ def test_license_texts_wrap_anywhere(spark):
     assert [got[k] for k in range(len(texts))] == [i for i, _ in texts]
 
 
+def test_long_license_texts_are_known(spark):
+    names = {"Apache-2.0", "Artistic-1.0-Perl", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0"}
+    whole = {i: t for i, t in reversed(licenses.known_texts()) if i in names and len(t) > 5000}
+    assert set(whole) == names
+    texts = list(whole.items())
+    # texts with forms for statements in an appendix have those where they stand
+    texts += [(i, "\n\n".join(textwrap.fill(p, width) for p in whole[i].split("APPENDIX")[0].split("\n\n"))) for i in ("Apache-2.0", "MPL-2.0", "CC0-1.0") for width in (65, 72, 79)]
+    texts.append(("Apache-2.0", whole["Apache-2.0"].split("END OF TERMS")[0] + "END OF TERMS AND CONDITIONS\n"))
+    got = dict(collected(licenses.scan(docs(spark, *((k, t) for k, (_, t) in enumerate(texts))), licenses.known_digests(spark)), "doc_id", "license_id"))
+    assert [got[k] for k in range(len(texts))] == [i for i, _ in texts]
+
+
 def test_media_columns(spark):
     files = media.mux_texts(id_text(docs(spark, *ODD)))
     got = media.digest_media(files).collect()
