@@ -32,7 +32,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near duplicates."""
-    classes = written(neardup.near_duplicates(id_text(docs)), "classes")
+    classes = written(neardup.class_ids(id_text(docs)), "classes")
     # the list of what goes grows with the input, so it is not sent to every executor
     kept = docs.join(classes.where("doc_id <> class_id").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     again = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")

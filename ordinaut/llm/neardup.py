@@ -6,7 +6,8 @@ are candidates: in buckets of up to ``SMALL`` all pairs are verified; in larger
 centres, and then each member outside the bucket's main component against the members of other components.  Before
 that, texts go whose shingles are in too few others for any link, and pairs that share too few of them or whose
 shingle profiles are too far apart: these bounds are exact.  So no bucket emits all its pairs, and no pair of different components goes untested that could be a link.  Verified
-pairs are links; a class is a connected component of links.
+pairs are links; a class is a connected component of links.  How many documents a text is linked to is counted afterwards
+over all pairs of its class.
 
 A null text counts as empty; texts without a word are one class.  Rows with a null id are not compared: their class is
 null.  Rows that repeat an id are given the id's class.  Texts of fewer than five words are one shingle.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .bagminhash import band_keys, signatures
 from .common import slices, texts_of, written
 from .components import components
-from .tokens import multiset_jaccard, shingles, tokens
+from .tokens import mix, multiset_jaccard, shingles, tokens
 
 BANDS, PER_BAND = 25, 5
 REGISTERS = 128
@@ -32,6 +33,8 @@ SIMILAR = 0.8
 WIDTH = 5
 SMALL = 24
 PROFILE = 128  # the upper 7 bits of a hash
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21  # of one class, held against another block at a time
+COLUMNS = 2048
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -164,18 +167,102 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     return found.unionAll(written(verified(left, texts), "links"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links`` for each row of ``docs(doc_id, text)``: the smallest id of its class, and how many
-    documents of other words are linked to its text directly."""
-    known = docs.where("doc_id is not null")
+def _elements(hashes: np.ndarray) -> np.ndarray:
+    """The shingles of a text, the repeats of one told apart: sets whose intersection is that of the multisets."""
+    own = np.sort(shingles(hashes, WIDTH))
+    again = np.arange(len(own)) - np.searchsorted(own, own)
+    return np.where(again > 0, mix(own ^ mix(again.astype(np.uint64))), own)
+
+
+def similar_pairs(texts: list[str]) -> np.ndarray:
+    """Which of ``texts``, none without a word, are similar enough to which, themselves left out."""
+    hashes, at, _ = tokens(texts)
+    own = [_elements(hashes[at[i] : at[i + 1]]) for i in range(len(texts))]
+    size = np.array([len(x) for x in own], np.int64)
+    _, column, held = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(own)), size), held > 1
+    use = shared[column]
+    row, column = row[use], (np.cumsum(shared) - 1)[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(own), len(own)))
+    for first in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        x = np.zeros((len(own), COLUMNS), np.float32)
+        x[row[a:b], column[a:b] - first] = 1
+        common += x @ x.T
+    similar = common / (size[:, None] + size - common) >= SIMILAR
+    np.fill_diagonal(similar, False)
+    return similar
+
+
+def linked(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rep, n_links`` of ``members(rep, size, class_id, n)``, where ``n`` documents have the words of ``rep``: the documents of
+    other members of its class that are similar enough.  All pairs of a class are worked out, in blocks of about ``BLOCK``
+    texts or ``BLOCK_SHINGLES``; no pair is a row."""
+    # a block that is too large costs memory only, and what is one text can't be cut
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.least(F.count("*"), F.ceil(F.sum("size") / BLOCK_SHINGLES)))
+    classes = members.groupBy("class_id").agg(F.count("*").alias("k"), parts.alias("parts")).where("k > 1").drop("k")
+    own = members.join(classes.hint("merge"), "class_id").withColumn("block", F.expr("pmod(xxhash64(rep), parts)"))
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(own.select("rep").hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
+    rows = own.hint("merge").join(texts.hint("merge"), "rep").select("rep", "class_id", "n", "block", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("class_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "text")
+
+    def counted(group):
+        rep, block, n = (np.array([r[k] for r in group], np.int64) for k in (0, 1, 2))
+        i, j = int(block.min()), int(block.max())
+        similar = similar_pairs([r[3] or "" for r in group])
+        if i != j:  # pairs of one block are counted where it meets itself
+            similar &= block[:, None] != block
+        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array((similar * n).sum(1))], ["rep", "n_links"])
+
+    def run(batches):
+        key, group = None, []
+        for batch in batches:
+            for *now, block, rep, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != key:
+                    if _holds_pairs(key, group):
+                        yield counted(group)
+                    key, group = now, []
+                group.append((rep, block, n, text))
+        if _holds_pairs(key, group):
+            yield counted(group)
+
+    rows = rows.repartition("class_id", "i", "j").sortWithinPartitions("class_id", "i", "j")
+    return rows.mapInArrow(run, "rep long, n_links long").groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+
+
+def _holds_pairs(key: list | None, group: list) -> bool:
+    """Whether a group of ``linked`` has pairs that are its own: of one block, or of two that both have members."""
+    return len(group) > 1 and (key[1] == key[2] or len({block for _, block, *_ in group}) > 1)
+
+
+def _classes(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketches of documents with an id, and ``words, rep, size, class_id`` of their distinct texts."""
     sketches = written(sketch(known), "sketches")
     reps = sketches.groupBy("words").agg(F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
     reps = written(reps, "reps")
-    found = links(reps.select("rep", "size", "bands"), known)
-    root = components(found)
-    degree = found.select(F.col("a").alias("rep")).unionAll(found.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = reps.select("words", "rep").join(root.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    classes = classes.select("words", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    root = components(links(reps.select("rep", "size", "bands"), known))
+    found = reps.select("words", "rep", "size").join(root.withColumnRenamed("node", "rep"), "rep", "left")
+    return sketches, found.select("words", "rep", "size", F.coalesce("root", "rep").alias("class_id"))
+
+
+def class_ids(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id`` for each row of ``docs(doc_id, text)``: the smallest id of its class."""
+    sketches, classes = _classes(docs.where("doc_id is not null"))
+    out = sketches.select("doc_id", "words").join(classes, "words").select("doc_id", "class_id")
+    return out.unionAll(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, n_links`` for each row of ``docs(doc_id, text)``: the smallest id of its class, and how many
+    documents of other words in the class are similar enough to its text."""
+    known = docs.where("doc_id is not null")
+    sketches, classes = _classes(known)
+    classes = written(classes, "texts-classes")
+    n = sketches.select("words", "doc_id").distinct().groupBy("words").agg(F.count("*").alias("n"))
+    degree = linked(classes.join(n, "words").select("rep", "size", "class_id", "n"), known)
+    classes = classes.join(degree, "rep", "left").select("words", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sketches.select("doc_id", "words").join(classes, "words").select("doc_id", "class_id", "n_links")
     null = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionAll(null)

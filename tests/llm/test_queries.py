@@ -175,6 +175,27 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert empty.count() == 0 and empty.columns == ["doc_id", "class_id", "n_links"]
 
 
+def test_links_are_counted_in_buckets_of_any_size(spark, monkeypatch):
+    draw = random.Random(9)
+    words = [f"b{k}" for k in range(150)] * 2
+    rows = []
+    for i in range(60):  # some pairs are similar enough, others are linked through third texts only
+        w = words[:]
+        for _ in range(i % 5):
+            w[draw.randrange(300)] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, rows[i][1]) for i in (1, 1, 2, 30)] + [(200, "alone in the world of words"), (201, None)]
+    rows = list(dict.fromkeys(rows)) + [(300, rows[5][1]), (300, rows[5][1])]
+    own = {d: list(tokens([t or ""])[0]) for d, t in rows}
+    want = {a: sum(x != y and multiset_jaccard(np.array(x, np.uint64), np.array(y, np.uint64)) >= 0.8 for y in own.values()) for a, x in own.items()}
+    assert 0 < min(want[a] for a in range(60)) < max(want.values()) and want[5] > 24
+    for block in (neardup.BLOCK, 7):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        got = collected(neardup.near_duplicates(docs(spark, *rows)), "doc_id", "class_id", "n_links")
+        assert len(got) == len(rows) and {d: n for d, _, n in got} == want
+    assert sorted(collected(neardup.class_ids(docs(spark, *rows)), "doc_id", "class_id")) == sorted((d, c) for d, c, _ in got)
+
+
 def test_near_duplicates_of_the_table(spark, real):
     rows = [tuple(r) for r in real.select("doc_id", "text").collect()]
     assert dict(collected(neardup.near_duplicates(id_text(real)), "doc_id", "class_id")) == brute_classes(rows)
