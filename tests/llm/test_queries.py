@@ -274,6 +274,29 @@ def test_quality_scores(spark, real, labels):
     assert quality.quality_scores(docs(spark, *ODD).limit(0), labels).count() == 0
 
 
+def test_quality_of_rare_marks(spark):
+    draw = random.Random(4)
+    clean = lambda: " ".join("a" * draw.randint(2, 9) + draw.choice("bcdefg") for _ in range(draw.randint(30, 90))) + "."
+    rows = [(i, "$$$ 999 ### BUY !!! " * 9 + str(i) if i % 300 == 7 else clean()) for i in range(3000)]
+    marks = spark.createDataFrame([(i, int(i % 300 != 7)) for i in range(3000)], "doc_id long, quality int")
+    ranker = quality.learn(id_text(docs(spark, *rows)), marks, rows=40)  # such a sample of all labels holds none that is bad
+    x = quality.features([t for _, t in rows])
+    assert np.flatnonzero(ranker.score(x) < 0.5).tolist() == [i for i in range(3000) if i % 300 == 7]
+    assert np.allclose(ranker.mean, x.mean(0)) and np.allclose(ranker.scale, x.std(0) + 1e-6)
+    flipped = marks.withColumn("quality", F.when(F.col("doc_id") % 4 == 0, 0).otherwise(F.col("quality")))
+    ranker = quality.learn(id_text(docs(spark, *rows)), flipped, rows=40)
+    assert (ranker.score(x) < 0.5).sum() == flipped.where("quality = 0").count()
+
+
+def test_quality_cut_is_exact(spark, monkeypatch):
+    draw = random.Random(8)
+    monkeypatch.setattr(quality, "ACCURACY", 5)
+    for values in ([draw.random() for _ in range(500)], [draw.randrange(9) / 4 for _ in range(60)], [1.0] * 5):
+        frame, own = spark.createDataFrame([(v,) for v in values], "s double"), sorted(values)
+        for k in {1, 2, len(own) // 3, len(own) - 1}:
+            assert quality._cut(frame, k, len(own)) == pytest.approx((own[k - 1] + own[k]) / 2)
+
+
 def test_toxicity_scores(spark, real, labels):
     got = toxicity.toxicity_scores(real, labels).toPandas().set_index("doc_id").score
     marks = labels.toPandas().set_index("doc_id").toxic
