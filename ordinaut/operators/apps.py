@@ -66,16 +66,21 @@ def conjugate_gradient(b: Seq, tolerance: float = 1e-10, most: int = 200) -> tup
 
 def nbody_forces(bodies: DataFrame, softening: float = 1e-9, most: int = 20_000) -> DataFrame:
     """``id, ax, ay, az`` from every pair of ``bodies(id, x, y, z, m)``: a direct sum, whose pairs are the operator's
-    definition.  The replicated side is refused beyond ``most`` bodies."""
-    n = bodies.count()
-    if n > most:
-        raise ValueError(f"{n} bodies; a direct sum takes {most} at most")
-    other = bodies.select(F.col("id").alias("o"), *(F.col(c).alias(f"o{c}") for c in "xyz"), F.col("m").alias("om"))
-    d = {c: F.col(f"o{c}") - F.col(c) for c in "xyz"}
-    r2 = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"] + softening
-    pairs = bodies.join(F.broadcast(other), F.col("id") != F.col("o"), "left")
-    w = F.col("om") / (r2 * F.sqrt(r2))
-    return pairs.groupBy("id").agg(*(F.coalesce(F.sum(w * d[c]), F.lit(0.0)).alias(f"a{c}") for c in "xyz"))
+    definition.  The other bodies are sent out in blocks of about ``most``, whose partial forces add up."""
+    parts = max(1, -(-bodies.count() // most))
+    partial = None
+    for k in range(parts):
+        block = bodies if parts == 1 else bodies.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)
+        other = block.select(F.col("id").alias("o"), *(F.col(c).alias(f"o{c}") for c in "xyz"), F.col("m").alias("om"))
+        d = {c: F.col(f"o{c}") - F.col(c) for c in "xyz"}
+        r2 = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"] + softening
+        pairs = bodies.join(F.broadcast(other), F.col("id") != F.col("o"), "left")
+        w = F.col("om") / (r2 * F.sqrt(r2))
+        own = pairs.groupBy("id").agg(*(F.coalesce(F.sum(w * d[c]), F.lit(0.0)).alias(f"a{c}") for c in "xyz"))
+        if parts > 1:  # each block's work is done, and its rows freed, before the next is sent
+            own = checkpointed(own)
+        partial = own if partial is None else partial.unionAll(own)
+    return partial if parts == 1 else partial.groupBy("id").agg(*(F.sum(f"a{c}").alias(f"a{c}") for c in "xyz"))
 
 
 def nbody_step(bodies: DataFrame, dt: float) -> DataFrame:

@@ -85,6 +85,13 @@ def test_applications(spark):
     assert abs(apps.nbody_step(two, 0.1).agg(F.sum("vx")).first()[0]) < 1e-12
 
 
+def test_nbody_in_blocks(spark):
+    bodies = spark.range(30).selectExpr("id", "sin(id) x", "cos(id * 3) y", "id / 7.0D z", "1.0D + id % 3 m")
+    whole = {r["id"]: r for r in apps.nbody_forces(bodies).collect()}
+    parts = {r["id"]: r for r in apps.nbody_forces(bodies, most=8).collect()}
+    assert whole.keys() == parts.keys() and all(abs(whole[i][c] - parts[i][c]) <= 1e-9 * (1 + abs(whole[i][c])) for i in whole for c in ("ax", "ay", "az"))
+
+
 def test_futures(spark):
     count = fu.async_(spark.range(10).count)
     assert fu.then(count, lambda n: n + 1).result() == 11
