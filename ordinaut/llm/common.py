@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,11 +17,17 @@ _own_dir = ""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where it is unset, a temporary one in local
+    mode, which has one machine; elsewhere an error, as executors would write where nobody else reads."""
     global _own_dir
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="ordinaut-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
+        if not _own_dir:
+            _own_dir = "file://" + tempfile.mkdtemp(prefix="ordinaut-")
+            atexit.register(shutil.rmtree, _own_dir.removeprefix("file://"), ignore_errors=True)
+        path = _own_dir
     return path.rstrip("/")
 
 
@@ -61,3 +69,22 @@ def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20
         end = max(at + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
         yield batch.slice(at, end - at)
         at = end
+
+
+#: Keys with more rows than this, and than one in so many of all rows, are hot.
+HOT_ROWS, HOT_SHARE = 512, 20_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """``many`` joined with ``one``, in which each ``key`` stands once with ``n``, its rows in ``many`` (``total`` in all, or
+    less).  Hot keys are ``HOT_SHARE`` at most, as their rows are more than that share of the total, so they go to every
+    executor and the rows of ``many`` stay where they are; other keys meet in a shuffle.  So no task gathers the rows of
+    one key, however many it has."""
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_SHARE)
+    few = F.broadcast(one.where(hot))
+    rest = many.join(F.broadcast(one.where(hot).select(key)), key, "left_anti")
+    return many.join(few, key).unionAll(rest.join(one.where(~hot).hint("merge"), key))
+
+
+def sum_of(df: DataFrame, column: str) -> int:
+    return int(df.agg(F.sum(column)).first()[0] or 0)

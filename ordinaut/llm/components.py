@@ -1,25 +1,26 @@
-"""Connected components by alternating large-star and small-star steps; no adjacency list is ever gathered."""
+"""Connected components by alternating large-star and small-star steps; no adjacency list is ever gathered, and the rows of
+a node with very many neighbours are never in one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, n: int) -> DataFrame:
     """Every node's larger neighbours go to the smallest of its neighbourhood."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    low = both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
+    return spread_join(both, low, "a", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     """Every node and its smaller neighbours go to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = down.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
+    low = down.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("low"))
+    moved = spread_join(down, low, "a", n).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
     return moved.unionAll(low.select("a", F.col("low").alias("b"))).distinct()
 
 
@@ -33,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     state = _state(now)
     while True:
-        now = written(_small(_large(now)), "stars")
+        middle = written(_large(now, state[0]), "stars")
+        now = written(_small(middle, state[0]), "stars")
         last, state = state, _state(now)
         if state == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

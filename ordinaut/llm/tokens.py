@@ -26,7 +26,8 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 _POWERS = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
+def powers_of(n: int) -> np.ndarray:
+    """Powers of the rolling hash's base, ``n`` at least."""
     global _POWERS
     if len(_POWERS) < n:
         out = np.full(max(n, 256), _BASE, np.uint64)
@@ -50,7 +51,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = ends - starts
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(parts) + 1, np.int64), sizes
-    power = _powers(int(sizes.max()) + 1)
+    power = powers_of(int(sizes.max()) + 1)
     inside = data[word]
     first = np.zeros(len(sizes), np.int64)
     np.cumsum(sizes[:-1], out=first[1:])
@@ -78,11 +79,20 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     return windows(hashes, width)
 
 
-def multiset_jaccard(a: np.ndarray, b: np.ndarray, width: int = 5) -> float:
-    """Sum of minima over sum of maxima of the shingle counts of two texts' words; 1 for two empty texts."""
-    (ka, na), (kb, nb) = (np.unique(shingles(x, width), return_counts=True) for x in (a, b))
-    if not len(ka) and not len(kb):
+def bag(hashes: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of one text, in order, and how often it has each."""
+    return np.unique(shingles(hashes, width), return_counts=True)
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Sum of minima over sum of maxima of the counts of two bags; 1 for two empty ones."""
+    if not len(a[0]) and not len(b[0]):
         return 1.0
-    _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    low = int(np.minimum(na[ia], nb[ib]).sum())
-    return low / (int(na.sum()) + int(nb.sum()) - low)
+    _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    low = int(np.minimum(a[1][ia], b[1][ib]).sum())
+    return low / (int(a[1].sum()) + int(b[1].sum()) - low)
+
+
+def multiset_jaccard(a: np.ndarray, b: np.ndarray, width: int = 5) -> float:
+    """The similarity of two texts' words."""
+    return similarity(bag(a, width), bag(b, width))
