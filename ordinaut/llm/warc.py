@@ -8,7 +8,8 @@ nothing half-written.
 Null html is an empty payload.  Of records with equal payloads of at least ``min_bytes`` bytes the one with the
 largest id is the response and the others are revisits of it; rows that repeat an id with the same payload are all
 responses when that id is the largest.  A row with a null id revisits the largest id of its payload, or is a response
-when its group has none.  Empty tables give no archives and no rows.  Columns other than id and html are not read.
+when its group has none.  Empty tables give no archives and no rows.  Columns other than id, url and html are not read.  An archive that
+is cut off, or that holds anything but whole gzip members and zero padding, raises.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -41,7 +43,12 @@ def _id(page_id: int | None) -> str:
     return f"urn:page:{'' if page_id is None else page_id}"
 
 
-def record(page_id: int | None, payload: bytes, refers_to: int | None = None) -> bytes:
+def _uri(url: str) -> str:
+    """A URL that fits a header line: blanks and control characters are written as their bytes in hex."""
+    return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
+
+
+def record(page_id: int | None, payload: bytes, refers_to: int | None = None, url: str | None = None) -> bytes:
     """One response, or a revisit without a payload, with its closing blank lines."""
     revisit = refers_to is not None
     block = _HTTP if revisit else _HTTP + payload
@@ -49,6 +56,7 @@ def record(page_id: int | None, payload: bytes, refers_to: int | None = None) ->
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", f"<{_id(page_id)}>"),
         ("WARC-Date", "2024-01-01T00:00:00Z"),
+        *([("WARC-Target-URI", _uri(url))] if url else []),
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"),
         ("Payload-Length", str(len(payload))),
@@ -56,7 +64,7 @@ def record(page_id: int | None, payload: bytes, refers_to: int | None = None) ->
     if revisit:
         head += [("WARC-Refers-To", f"<{_id(refers_to)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     head.append(("Content-Length", str(len(block))))
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
 
 
 def headers(raw: bytes) -> dict[str, str]:
@@ -68,24 +76,33 @@ def headers(raw: bytes) -> dict[str, str]:
 
 
 class Inflated:
-    """The bytes of a gzip file of one or more members, read in pieces."""
+    """The bytes of a gzip file of one or more members, read in pieces.  Zero bytes after a member are padding; a member
+    that does not reach its end, checksum and length included, raises ``ValueError``, and so does anything else."""
 
     def __init__(self, source) -> None:
-        self.source, self.more, self.data, self.rest = source, zlib.decompressobj(31), bytearray(), b""
+        self.source, self.more, self.data, self.rest = source, None, bytearray(), b""
 
     def _fill(self) -> bool:
         while True:
-            if self.more.eof:
-                self.rest, self.more = self.more.unused_data or self.rest, zlib.decompressobj(31)
             raw = self.rest or self.source.read(PIECE)
             self.rest = b""
-            if not raw:
-                return False
-            got = self.more.decompress(raw, PIECE)
-            self.rest = self.more.unconsumed_tail
+            if self.more is None:
+                if not raw:
+                    return False
+                self.rest = raw.lstrip(b"\0")
+                if not self.rest:
+                    continue
+                raw, self.rest, self.more = self.rest, b"", zlib.decompressobj(31)
+            try:
+                got = self.more.decompress(raw, PIECE)
+            except zlib.error as e:
+                raise ValueError(f"no gzip stream: {e}") from e
             if self.more.eof:
-                self.rest = self.more.unused_data
-                self.more = zlib.decompressobj(31)
+                self.rest, self.more = self.more.unused_data, None
+            elif not raw and not got:
+                raise ValueError("a gzip member is cut off")
+            else:
+                self.rest = self.more.unconsumed_tail
             if got:
                 self.data += got
                 return True
@@ -138,7 +155,8 @@ def normalise(source, sink, level: int = 6) -> Iterator[dict]:
 
 
 def _open(uri: str):
-    return pafs.FileSystem.from_uri(uri)
+    """The file system and path of a URI; what Hadoop calls ``s3a`` or ``s3n`` is ``s3`` here."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
 def _write_file(uri: str, write) -> None:
@@ -152,24 +170,26 @@ def _write_file(uri: str, write) -> None:
 
 
 def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``page_id, html, refers_to``: ``refers_to`` is the response's id for revisits.  Payload groups meet by digest as
+    """``page_id, url, html, refers_to``: ``refers_to`` is the response's id for revisits, ``url`` null where pages have
+    none.  Payload groups meet by digest as
     counts and maxima; pages then join only the groups of two or more, a join whose hot digests Spark can split."""
-    own = pages.select(F.col("page_id").alias("page_id"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
+    own = pages.select(F.col("page_id").alias("page_id"), url.alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     own = own.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     groups = own.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null")
     joined = own.join(groups.select("sha", "response"), "sha", "left")
-    return joined.select("page_id", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("response")), F.col("response")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("response")), F.col("response")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, level: int = 1) -> DataFrame:
-    """Monolithic archives of ``pages(page_id, html, refers_to)``; one row ``path, records`` for each, already written."""
+    """Monolithic archives of ``pages(page_id, url, html, refers_to)``; one row ``path, records`` for each, already written."""
     spark = pages.sparkSession
     files, path = _open(folder)
     files.create_dir(path, recursive=True)
 
     def run(batches):
         part, names, counts = TaskContext.get().partitionId(), [], []
-        rows = ((p, h or "", r) for batch in batches for cut in slices(batch, "html") for p, h, r in zip(*(c.to_pylist() for c in cut.columns), strict=True))
+        rows = ((p, u, h or "", r) for batch in batches for cut in slices(batch, "html") for p, u, h, r in zip(*(c.to_pylist() for c in cut.columns), strict=True))
         row = next(rows, None)
         while row is not None:
             name, n = f"{folder}/a{part:06d}-{len(names):04d}.warc.gz", 0
@@ -178,7 +198,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
                 nonlocal row, n
                 stream, size = zlib.compressobj(level, zlib.DEFLATED, 31), 0
                 while row is not None and size < archive_bytes:
-                    raw = record(row[0], row[1].encode("utf-8", "replace"), row[2])
+                    raw = record(row[0], row[2].encode("utf-8", "replace"), row[3], row[1])
                     sink.write(stream.compress(raw))
                     size, n, row = size + len(raw), n + 1, next(rows, None)
                 sink.write(stream.flush())
@@ -188,13 +208,12 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             counts.append(n)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["path", "records"])
 
-    return written(pages.select("page_id", "html", "refers_to").mapInArrow(run, "path string, records long"), "archives")
+    return written(pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long"), "archives")
 
 
 def _spread(spark: SparkSession, archives: DataFrame) -> DataFrame:
-    """One archive a task: tasks follow the number of archives, dealt by rows' own numbers."""
-    n = max(1, archives.count())
-    return archives.repartition(n, "path")
+    """One archive a task, or nearly: as many tasks as archives, each with a range of their names."""
+    return archives.repartitionByRange(max(1, archives.count()), "path")
 
 
 def normalise_archives(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
