@@ -5,8 +5,8 @@ each pair of equivalent spellings) and its SHA-256 is hash-joined to the digests
 looked up, and so is every line of a text, which finds the notices that documents carry.  All of it is Column
 expressions; known texts go through the same ones, so both sides always agree.
 
-A null text counts as empty.  What has an empty canonical form has no licence.  Rows that repeat an id are reported
-once each.  Known licences with equal canonical forms are told apart by the smallest id.
+A null text counts as empty.  What has an empty canonical form has no licence.  Every row is reported by its own text,
+whether or not others have its id.  Known licences with equal canonical forms are told apart by the smallest id.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
 # What follows "copyright" in running text, in capitals or as a heading, where a statement has a name.
 _NO_NAME = "notices?|holders?|owners?|licen[sc]e[sd]?|laws?|acts?|treat(?:y|ies)|rights?|statements?|permissions?|protections?|interests?|infringements?|claims?|terms?|status|disclaimers?|and|or|in|is|on|of|for|to|under|as|with|that|which|may|shall|will"
 _NO_ITEM = "you|your|the|this|these|that|such|any|all|each|every|no|if|in|on|a|an|for|to|under|where|when|use|it|its|every|notwithstanding|except|other"
+#: The signs that begin a line of a comment in source files.
+_COMMENT = r"[ \t]*(?:[#/*;%!<.-]{1,4}[ \t]*)?"
 #: A line that is a copyright statement, before its case is folded, as a name shows by its capital: the word with a sign, a year or a name
 #: after it, or a sign with a year or a name.  Running text may begin a line with the word as well, wherever it was wrapped, and a list with "(c)".
 COPYRIGHT_STATEMENT = (
-    rf"(?m)^[ \t]*(?:©|\([cC]\)[ \t]*(?:(?i:copyright)|(?:19|20)\d\d\b|(?!(?i:{_NO_ITEM})\b)\p{{Lu}})|(?i:copyright)[ \t:,-]*(?i:\(c\)|©|&copy;|(?:19|20)\d\d\b)"
+    rf"(?m)^{_COMMENT}(?:©|\([cC]\)[ \t]*(?:(?i:copyright)|(?:19|20)\d\d\b|(?!(?i:{_NO_ITEM})\b)\p{{Lu}})|(?i:copyright)[ \t:,-]*(?i:\(c\)|©|&copy;|(?:19|20)\d\d\b)"
     rf"|(?:Copyright|COPYRIGHT):?[ \t]+(?i:by[ \t]+)?(?i:the[ \t]+)?(?!(?i:{_NO_NAME})\b)[\p{{Lu}}<\[{{])[^\n]*$"
 )
 
@@ -39,7 +41,7 @@ SPELLINGS = [
     ("modelled", "modeled"), ("modelling", "modeling"), ("non commercial", "noncommercial"), ("offence", "offense"),
     ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"), ("per cent", "percent"),
     ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
-    ("signalling", "signaling"), ("sub license", "sublicense"), ("sub licence", "sublicense"), ("utilisation", "utilization"),
+    ("signalling", "signaling"), ("sub license", "sublicense"), ("utilisation", "utilization"),
     ("whilst", "while"), ("wilful", "willful"),
 ]
 
@@ -86,15 +88,22 @@ KNOWN = [
 
 #: Where the terms of some texts end; an appendix follows that is often left out.
 TERMS_END = "END OF TERMS AND CONDITIONS"
+RESERVED = "All rights reserved."
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """``KNOWN``, and the texts of the files ``known/<licence>.txt``, each with and without what follows its terms."""
+    """``KNOWN``, and the texts of the files ``known/<licence>.txt``, each with and without what follows its terms.  What is
+    longer than a notice is also known with the sentence that all rights are reserved, which comes with the copyright
+    statement and so before the text, or after its title."""
     out = list(KNOWN)
     for file in sorted((Path(__file__).parent / "known").glob("*.txt")):
         text = file.read_text("utf-8")
         at = text.find(TERMS_END)
         out += [(file.stem, text)] + ([(file.stem, text[:at] + TERMS_END), (file.stem, text[:at])] if at >= 0 else [])
+    for name, text in list(out):
+        if len(text) > 200:
+            title, _, rest = text.partition("\n\n")
+            out += [(name, f"{RESERVED}\n{text}"), *([(name, f"{title}\n{RESERVED}\n{rest}")] if rest and len(title) < 80 else [])]
     return out
 
 
@@ -135,15 +144,18 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """``doc_id, digest, license_id, notices`` for each row of ``docs(doc_id, text)``: the whole text's digest and
-    licence, and the sorted licences whose notice is a whole line.  Only lines that are known go back to their texts;
-    Spark sends the known digests to every executor while they are small and shuffles both sides beyond that."""
+    licence, and the sorted licences whose notice is a whole line.  Only lines that are known go back to their texts, by the
+    id and the text's own digest, so that a row's notices are those of its text even where ids repeat or are null.  Spark
+    sends the known digests to every executor while they are small and shuffles both sides beyond that."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("_mark", F.unhex(F.md5(F.col("text").cast("binary"))))
     whole = with_digest(rows, "text").join(known, "digest", "left")
-    lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = rows.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_own"), F.explode(F.split("text", "\n")).alias("line"))
     # never null, or the join's test for nulls would work out every line's digest once more, below the steps
     found = with_digest(lines, "line").withColumn("digest", F.coalesce("digest", F.lit(""))).join(known, "digest")
-    notices = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
-    return whole.join(notices, "doc_id", "left").select("doc_id", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
+    notices = found.groupBy("_id", "_own").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_own"))
+    return whole.join(notices, same, "left").select("doc_id", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def _sql_canonical(text: str) -> str:
