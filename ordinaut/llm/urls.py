@@ -2,13 +2,16 @@
 
 A list's history is rows ``(kind, key, day, action)``: from ``day`` on the key is listed (``add``) or is not
 (``remove``).  Kinds are ``host`` (that host alone), ``domain`` (it and all hosts below it) and ``prefix`` (a host and
-the first part of the path).  Each run of days between two entries of a key becomes an interval, and a capture is
+the first parts of the path, as many as the entry has: ``host/a`` or ``host/a/b``).  Each run of days between two entries of a key becomes an interval, and a capture is
 blocked by the intervals of its own keys that hold the day of its fetch.  Only Column expressions are used.
 
 On one day the removal of a key wins over its addition.  Rows with a null kind, key, day or action are left out of a
 list.  A capture whose URL is null or has no host, or whose day is null, is never blocked.  Repeated captures are
 reported once each; repeated list entries count once.  Of several intervals that hold, the result names the most
-specific: prefix, then host, then the longest domain.
+specific: the longest prefix, then host, then the longest domain.
+
+A top-level domain, or a host with a third of all captures, is never gathered in one task: keys are counted by day before
+they meet the list, and what the list says goes back to the keys and to the captures by ``spread_join``.
 """
 
 from __future__ import annotations
@@ -17,8 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import spread_join, sum_of, written
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
+WHOLE_PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)"
 
 
 def host_of(url: Column) -> Column:
@@ -31,6 +37,11 @@ def part_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1)
 
 
+def path_of(url: Column) -> Column:
+    """The path without its first slash, or ''."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), WHOLE_PATH, 1)
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """``kind, key, valid_from, valid_to`` (to is null while the entry stands).  Entries are first brought to one for each
     key and day, so that the ordered step sees no more rows of a key than there are days."""
@@ -40,34 +51,42 @@ def intervals(entries: DataFrame) -> DataFrame:
     return daily.withColumn("valid_to", F.lead("day").over(order)).where("action = 'add'").select("kind", "key", F.col("day").alias("valid_from"), "valid_to")
 
 
-def _keys(host: Column, part: Column) -> Column:
+def _keys(host: Column, path: Column) -> Column:
     """All keys that could list a capture: ``(rank, kind, key)``, where a lower rank is more specific."""
-    labels = F.split(host, r"\.")
-    domains = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda k: F.struct((k + 1).cast("int").alias("rank"), F.lit("domain").alias("kind"), F.array_join(F.slice(labels, k, F.size(labels)), ".").alias("key")),
-    )
-    own = F.array(
-        F.struct(F.lit(0).alias("rank"), F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), part).alias("key")),
-        F.struct(F.lit(1).alias("rank"), F.lit("host").alias("kind"), host.alias("key")),
-    )
-    return F.concat(own, domains)
+    labels, parts = F.split(host, r"\."), F.split(path, "/")
+    key = lambda rank, kind, key: F.struct(rank.cast("int").alias("rank"), F.lit(kind).alias("kind"), key.alias("key"))
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: key(k + 1, "domain", F.array_join(F.slice(labels, k, F.size(labels)), ".")))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: key(-k, "prefix", F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"))))
+    return F.concat(prefixes, F.array(key(F.lit(1), "host", host)), domains)
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``page_id, host, day, blocked, kind, key, valid_from`` for each row of ``captures(page_id, url, day)``.
 
-    Only distinct (host, first part, day) triples meet the list, so a host with a third of all captures is met once a
-    part and day; what was found goes back to the captures over the same triple.
+    Only distinct (host, path, day) triples are taken apart, the path cut to as many parts as the list's prefixes have,
+    and only distinct (kind, key, day) triples meet the list.
     """
-    rows = captures.select("page_id", host_of(F.col("url")).alias("host"), part_of(F.col("url")).alias("part"), "day")
-    own = rows.where("host <> '' and day is not null").groupBy("host", "part", "day").agg(F.count("*").alias("n"))
-    asked = own.select("host", "part", "day", F.explode(_keys(F.col("host"), F.col("part"))).alias("k")).select("host", "part", "day", "k.*")
-    valid = intervals(entries)
-    holds = (asked["kind"] == valid["kind"]) & (asked["key"] == valid["key"]) & (asked["day"] >= valid["valid_from"]) & (valid["valid_to"].isNull() | (asked["day"] < valid["valid_to"]))
-    met = asked.join(valid, holds).select("host", "part", "day", F.struct("rank", asked["kind"], asked["key"], "valid_from").alias("k"))
-    best = met.groupBy("host", "part", "day").agg(F.min("k").alias("k"))
-    return rows.join(best, ["host", "part", "day"], "left").select("page_id", "host", "day", F.col("k").isNotNull().alias("blocked"), "k.kind", "k.key", "k.valid_from")
+    valid = written(intervals(entries), "intervals")
+    deepest = valid.where("kind = 'prefix'").agg(F.max(F.size(F.split("key", "/")))).first()[0] or 2
+    path = F.array_join(F.slice(F.split(path_of(F.col("url")), "/"), 1, deepest - 1), "/")
+    rows = captures.select("page_id", host_of(F.col("url")).alias("host"), path.alias("path"), "day")
+    has = (F.col("host") != "") & F.col("day").isNotNull()
+    own = rows.where(has).groupBy(F.struct("host", "path", "day").alias("visit")).agg(F.count("*").alias("n"))
+    own = written(own, "visits")
+    asked = own.select("visit", F.explode(_keys(F.col("visit.host"), F.col("visit.path"))).alias("k"))
+    asked = asked.select("visit", F.struct("k.kind", "k.key", "visit.day").alias("ask"), "k.rank")
+    wanted = asked.groupBy("ask").agg(F.count("*").alias("n"))
+    since = (F.col("ask.day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("ask.day") < F.col("valid_to")))
+    met = wanted.join(valid, (F.col("ask.kind") == F.col("kind")) & (F.col("ask.key") == F.col("key")) & since)
+    met = written(met.select("ask", "n", "valid_from"), "met")
+    # the intervals of a key hold no day twice
+    hits = spread_join(asked, met, "ask", sum_of(met, "n"))
+    best = hits.groupBy("visit").agg(F.min(F.struct("rank", "ask.kind", "ask.key", "valid_from")).alias("k"))
+    visits = written(own.join(best.hint("merge"), "visit", "left").select("visit", "n", "k"), "judged")
+    judged = spread_join(rows.where(has).select("page_id", F.struct("host", "path", "day").alias("visit")), visits, "visit", sum_of(visits, "n"))
+    judged = judged.select("page_id", "visit.host", "visit.day", "k")
+    rest = rows.where(~has).select("page_id", "host", "day", F.lit(None).cast(judged.schema["k"].dataType).alias("k"))
+    return judged.unionAll(rest).select("page_id", "host", "day", F.col("k").isNotNull().alias("blocked"), "k.kind", "k.key", "k.valid_from")
 
 
 def fetch_day(page_id: Column) -> Column:
