@@ -7,8 +7,8 @@ two unpacked pieces where these fit the expanded gap more tightly.  The bin is u
 uses up at least one length, so that the plan stays a few thousand bins long.  Pieces then take the plan's places by
 their rank among the pieces of their length; ranks come from counts by (length, block), never from one ordered task.
 
-A null or empty text is the closing id alone.  Repeated rows are packed like any others; rows with equal ids are told
-apart by an order that is arbitrary but fixed in the written table of pieces.  An empty table gives no rows.  A text of
+A null or empty text is the closing id alone.  Repeated rows are packed like any others: pieces of equal length take
+their places by numbers of their own, which are arbitrary but fixed in the written table of pieces.  An empty table gives no rows.  A text of
 any length is tokenised whole.
 """
 
@@ -198,14 +198,14 @@ def ranked(table: DataFrame, by: str, order: list[str], blocks: int, name: str =
 
 def pack(docs: DataFrame, path: str, limit: int = SEQUENCE) -> DataFrame:
     """``docs(doc_id, text)`` packed: a row for each piece with its sequence and place."""
-    table = written(pieces(docs, path, limit), "pieces")
+    table = written(pieces(docs, path, limit).withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     histogram = table.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``limit`` rows
     bins = plan(((r.length, r.n) for r in histogram), limit)
     total = sum(r.n for r in histogram)
     spark = docs.sparkSession
     schema = "length long, _begin long, _end long, _uses long, _sequence long, _at long"
     slots = spark.createDataFrame(pa.table(list(zip(*places(bins), strict=True)) or [[]] * 6, names=["length", "_begin", "_end", "_uses", "_sequence", "_at"]).to_pandas().astype("int64"), schema)
-    own = ranked(table, "length", ["doc_id", "piece", "ids_crc32"], blocks=max(8, total // 20_000))
+    own = ranked(table, "length", ["_piece"], blocks=max(8, total // 20_000))
     # the plan's size follows the sequence length alone, so it is small enough to send to every executor
     placed = own.join(F.broadcast(slots), "length").where("rank >= _begin and rank < _end")
     step = F.col("rank") - F.col("_begin")

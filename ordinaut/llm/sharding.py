@@ -22,7 +22,9 @@ from .common import written
 from .packing import ranked
 
 BITS = 60
-LIMIT = 16 << 20
+#: Bytes of text in a shard of the registered query: a part file that a loader fetches in one request.
+LIMIT = 256 << 10
+LEVELS = 4
 
 
 def key_hash(key: Column) -> Column:
@@ -30,14 +32,23 @@ def key_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def _nodes(leaves: DataFrame, depths: range, bits: int) -> DataFrame:
-    """Size of each prefix of the given depths, from leaves of ``bits`` bits, and whether it is done splitting."""
-    rows = leaves.select(F.explode(F.array(*(F.lit(d) for d in depths))).alias("depth"), "prefix", "bytes", "low", "high")
-    rows = rows.withColumn("prefix", F.expr(f"shiftright(prefix, {bits} - depth)"))
-    return rows.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.min("low").alias("low"), F.max("high").alias("high"))
+def _nodes(leaves: DataFrame, first: int, bits: int) -> DataFrame:
+    """``depth, prefix, bytes, low, high`` of each prefix of ``first`` to ``bits`` bits, from written leaves of ``bits`` bits:
+    the depths of ``LEVELS`` at a time come from those of the deepest before, so that a leaf is counted about ``LEVELS`` times
+    and not once for each depth."""
+    out = leaves.select(F.lit(bits).alias("depth"), "prefix", "bytes", "low", "high")
+    base = bits
+    while base > first:
+        top = max(first, base - LEVELS)
+        rows = leaves.select(F.explode(F.sequence(F.lit(top), F.lit(base - 1))).alias("depth"), "prefix", "bytes", "low", "high")
+        rows = rows.withColumn("prefix", F.expr(f"shiftright(prefix, {base} - depth)"))
+        level = written(rows.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.min("low").alias("low"), F.max("high").alias("high")), "levels")
+        out = out.unionAll(level)
+        leaves, base = level.where(F.col("depth") == top).drop("depth"), top
+    return out
 
 
-def assign(docs: DataFrame, limit: int = LIMIT, step: int = 8) -> DataFrame:
+def assign(docs: DataFrame, limit: int = LIMIT, step: int = 4) -> DataFrame:
     """``doc_id, bytes, depth, prefix, page`` for each row of ``docs(doc_id, text)``.  The shard is (depth, prefix, page):
     the first ``depth`` bits of the key's hash are ``prefix``."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
@@ -47,7 +58,7 @@ def assign(docs: DataFrame, limit: int = LIMIT, step: int = 8) -> DataFrame:
     first, todo, directory = 0, rows, None
     while True:
         leaves = todo.groupBy(F.shiftright("hash", BITS - bits).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.min("hash").alias("low"), F.max("hash").alias("high"))
-        nodes = written(_nodes(leaves, range(first, bits + 1), bits).withColumn("done", (F.col("bytes") <= limit) | (F.col("low") == F.col("high"))), "nodes")
+        nodes = written(_nodes(written(leaves, "leaves"), first, bits).withColumn("done", (F.col("bytes") <= limit) | (F.col("low") == F.col("high"))), "nodes")
         done = nodes.where("done")
         above = done.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"))
         shards = done.withColumn("up", F.shiftright("prefix", 1)).join(above, ["depth", "up"], "left_anti").select("depth", "prefix", "bytes")
