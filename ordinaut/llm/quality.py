@@ -8,7 +8,8 @@ documents, that of the share of bad ones among them.  A score is the logistic of
 so 0.5 is the cut.
 
 Null and empty texts are scored like any text (all statistics 0).  Repeated rows get equal scores.  Labels that are
-null, or whose document is missing, are left out; with no pair of labels to learn from, every score is 0.5.
+null, or whose document is missing, are left out; with no pair of labels to learn from, every score is 0.5.  Of an id's
+several labels the smaller counts, of its several texts the one with the smallest statistics.
 """
 
 from __future__ import annotations
@@ -81,17 +82,25 @@ class Ranker:
         return 1 / (1 + np.exp(-((self.strength(x) - self.cut) / self.spread).clip(-30, 30)))
 
 
+def drawn_pairs(good: np.ndarray, most: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the preferred and the other document of each pair, each document being in about as many as any other of its
+    mark."""
+    up, down = np.flatnonzero(good), np.flatnonzero(~good)
+    draw = np.random.default_rng(7)
+    n = min(most, 20 * len(good))
+    return np.resize(draw.permutation(up), n), draw.permutation(np.resize(down, n))
+
+
 def fit_ranker(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, steps: int = 300, ridge: float = 1e-3, moments: tuple[np.ndarray, np.ndarray] | None = None) -> Ranker:
-    """Weights that maximise the likelihood of (good, bad) pairs, each document being in about as many as any other of its
-    mark.  ``moments``: the features' means and scales, where ``x`` is a sample."""
+    """Weights that maximise the likelihood of (good, bad) pairs, less ``ridge / 2`` times their squares.  ``moments``: the
+    features' means and scales, where ``x`` is a sample."""
     mean, scale = moments or ((x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES)))
     z = ((x - mean) / scale).clip(-6, 6)
     up, down = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(up) or not len(down):
         return Ranker(mean, scale, np.zeros(N_FEATURES), 0.0, 1.0)
-    draw = np.random.default_rng(7)
-    n = min(pairs, 20 * len(x))
-    d = z[np.resize(draw.permutation(up), n)] - z[draw.permutation(np.resize(down, n))]
+    first, other = drawn_pairs(good, pairs)
+    d, n = z[first] - z[other], len(first)
     w = np.zeros(z.shape[1])
     m, v = w.copy(), w.copy()
     for t in range(1, steps + 1):  # Adam on the whole of the pairs
