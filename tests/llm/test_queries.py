@@ -4,6 +4,7 @@ import base64
 import glob
 import hashlib
 import itertools
+import math
 import os
 import random
 import textwrap
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ordinaut.llm import components, decontaminate, licenses, media, neardup, packing, quality, sharding, toxicity, urls, warc
+from ordinaut.llm import common, components, decontaminate, licenses, media, neardup, packing, quality, sharding, toxicity, urls, warc
 from ordinaut.llm.common import id_text, read_table
 from ordinaut.llm.queries import ORACLE_SQL, QUERIES
 from ordinaut.llm.tokens import multiset_jaccard, tokens
@@ -95,6 +96,26 @@ def test_license_texts_wrap_anywhere(spark):
     assert [got[k] for k in range(len(texts))] == [i for i, _ in texts]
 
 
+def test_license_in_a_comment(spark):
+    texts = []
+    for name, text in licenses.KNOWN[:8]:
+        for sign in ("# ", "// ", " * ", ";; ", "-- ", "#", "% "):
+            for head in ("Copyright (c) 2020 A. Body", "Copyright 2019-2021 The Authors\nAll rights reserved.", "(C) Jane Doe\nCopyright 2001 J. Doe. All Rights Reserved"):
+                lines = f"{head}\n\n{text}".split("\n")
+                texts.append((name, "\n".join(sign + x for line in lines for x in (textwrap.wrap(line, 70) or [""]))))
+    title, _, body = licenses.KNOWN[0][1].partition("\n\n")
+    texts.append(("MIT", f"{title}\n\nCopyright (c) 2011 Somebody\nAll rights reserved.\n\n{body}"))
+    got = dict(collected(licenses.scan(docs(spark, *((k, t) for k, (_, t) in enumerate(texts))), licenses.known_digests(spark)), "doc_id", "license_id"))
+    assert [got[k] for k in range(len(texts))] == [i for i, _ in texts]
+
+
+def test_license_notices_are_those_of_the_row(spark):
+    notice = "text\nReleased under the MIT License.\nmore"
+    rows = docs(spark, (1, notice), (1, "plain words"), (None, notice), (None, "other words"), (None, None), (2, notice), (2, notice))
+    got = collected(licenses.scan(rows, licenses.known_digests(spark)), "doc_id", "notices")
+    assert sorted(got, key=repr) == sorted([(1, "MIT"), (1, ""), (None, "MIT"), (None, ""), (None, ""), (2, "MIT"), (2, "MIT")], key=repr)
+
+
 def test_long_license_texts_are_known(spark):
     names = {"Apache-2.0", "Artistic-1.0-Perl", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0"}
     whole = {i: t for i, t in reversed(licenses.known_texts()) if i in names and len(t) > 5000}
@@ -155,8 +176,9 @@ def test_near_duplicates_equal_brute_force(spark):
                 w[draw.randrange(len(w))] = draw.choice(vocab)
             rows.append((len(rows), " ".join(w)))
     rows += [(1000, None), (1001, ""), (1002, "?! ."), (1003, rows[0][1]), (1003, rows[0][1]), (1004, "y " * 20_000)]
-    got = collected(neardup.near_duplicates(docs(spark, *rows, (None, "a b c"))), "doc_id", "class_id")
-    assert len(got) == len(rows) + 1 and (None, None) in got
+    odd = [(None, "a b c"), (None, "A b, c!"), (None, rows[0][1])]
+    got = collected(neardup.near_duplicates(docs(spark, *rows, *odd)), "doc_id", "class_id")
+    assert Counter(c for d, c in got if d is None) == Counter([None, None, 0]) and len(got) == len(rows) + 3
     want = brute_classes(sorted(set(rows), key=lambda r: r[0]))
     assert {d: c for d, c in got if d is not None} == want
 
@@ -172,7 +194,34 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     got = dict(collected(neardup.near_duplicates(docs(spark, *rows)), "doc_id", "class_id"))
     assert got == brute_classes(rows)
     empty = neardup.near_duplicates(docs(spark, *rows).limit(0))
-    assert empty.count() == 0 and empty.columns == ["doc_id", "class_id", "n_links"]
+    assert empty.count() == 0 and empty.columns == ["doc_id", "class_id"]
+
+
+def test_hot_keys_are_spread_and_blocks_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 3)
+    monkeypatch.setattr(neardup, "SIDE", 5)
+    monkeypatch.setattr(neardup, "GROUP", 4)
+    monkeypatch.setattr(common, "HOT_ROWS", 6)
+    draw = random.Random(11)
+    base, rows = [f"b{k}" for k in range(100)], []
+    for i in range(120):  # many pairs about the bound, in few large buckets, and copies of some
+        words = base[:]
+        for _ in range(draw.choice((1, 2, 3, 3, 4))):
+            words[draw.randrange(100)] = f"e{draw.randrange(6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, rows[i % 3][1].upper()) for i in range(40)]
+    assert dict(collected(neardup.near_duplicates(docs(spark, *rows)), "doc_id", "class_id")) == brute_classes(rows)
+
+
+def test_repeated_ids_are_told_apart(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = docs(spark, (1, a), (5, a), (5, b), (7, a), (7, b), (8, c), (8, c), (9, c + " more"), (None, b), (None, "alone here"), (None, "alone here"), (2, ""), (2, None))
+    got = sorted(collected(neardup.near_duplicates(rows), "doc_id", "class_id"), key=repr)
+    want = [(1, 1), (5, 1), (5, 5), (7, 1), (7, 5), (8, 8), (8, 8), (9, 8), (None, 5), (None, None), (None, None), (2, 2), (2, 2)]
+    assert got == sorted(want, key=repr)
+    kept = collected(neardup.one_of_each(rows), "doc_id", "text")
+    assert len(kept) == 5 and {d: t or "" for d, t in kept} == {1: a, 5: b, 8: c, None: "alone here", 2: ""}
+    assert neardup.one_of_each(rows).columns == rows.columns and neardup.one_of_each(rows.limit(0)).count() == 0
 
 
 def test_links_are_counted_in_buckets_of_any_size(spark, monkeypatch):
@@ -187,13 +236,14 @@ def test_links_are_counted_in_buckets_of_any_size(spark, monkeypatch):
     rows += [(100 + i, rows[i][1]) for i in (1, 1, 2, 30)] + [(200, "alone in the world of words"), (201, None)]
     rows = list(dict.fromkeys(rows)) + [(300, rows[5][1]), (300, rows[5][1])]
     own = {d: list(tokens([t or ""])[0]) for d, t in rows}
-    want = {a: sum(x != y and multiset_jaccard(np.array(x, np.uint64), np.array(y, np.uint64)) >= 0.8 for y in own.values()) for a, x in own.items()}
+    every = [own[d] for d, _ in rows]  # a row that stands twice counts twice
+    want = {a: sum(x != y and multiset_jaccard(np.array(x, np.uint64), np.array(y, np.uint64)) >= 0.8 for y in every) for a, x in own.items()}
     assert 0 < min(want[a] for a in range(60)) < max(want.values()) and want[5] > 24
     for block in (neardup.BLOCK, 7):
         monkeypatch.setattr(neardup, "BLOCK", block)
-        got = collected(neardup.near_duplicates(docs(spark, *rows)), "doc_id", "class_id", "n_links")
+        got = collected(neardup.link_counts(docs(spark, *rows)), "doc_id", "class_id", "n_links")
         assert len(got) == len(rows) and {d: n for d, _, n in got} == want
-    assert sorted(collected(neardup.class_ids(docs(spark, *rows)), "doc_id", "class_id")) == sorted((d, c) for d, c, _ in got)
+    assert sorted(collected(neardup.near_duplicates(docs(spark, *rows)), "doc_id", "class_id")) == sorted((d, c) for d, c, _ in got)
 
 
 def test_near_duplicates_of_the_table(spark, real):
@@ -235,6 +285,10 @@ def test_url_filter(spark):
         (1, False, None, None), (2, True, "host", "a.x.org"), (2, True, "host", "a.x.org"), (3, False, None, None), (4, True, "domain", "y.org"), (5, False, None, None), (6, True, "prefix", "b.x.org/p"),
         (7, True, "domain", "b.x.org"), (8, False, None, None), (9, False, None, None), (10, False, None, None), (11, False, None, None),
     ])
+    deep = spark.sql("""select * from values ('prefix', 'h.org/a/b', date'2024-01-01', 'add'), ('prefix', 'h.org/a', date'2024-02-01', 'add'), ('prefix', 'e.org/', date'2024-01-01', 'add') as t(kind, key, day, action)""")
+    seen = spark.sql("""select * from values (1, 'http://h.org/a/b', date'2024-01-05'), (2, 'http://h.org/a/b/c?x=/y', date'2024-03-05'), (3, 'http://h.org/a/bc', date'2024-01-05'), (4, 'http://h.org/a/bc', date'2024-03-05'),
+      (5, 'http://h.org/a', date'2024-01-05'), (6, 'http://e.org', date'2024-01-05'), (7, 'http://e.org/?q', date'2024-01-05'), (8, 'http://e.org/x', date'2024-01-05') as t(page_id, url, day)""")
+    assert sorted(collected(urls.filter_urls(seen, deep), "page_id", "key")) == [(1, "h.org/a/b"), (2, "h.org/a/b"), (3, None), (4, "h.org/a"), (5, None), (6, "e.org/"), (7, "e.org/"), (8, None)]
     plan = urls.filter_urls(captures, entries)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert urls.filter_urls(captures, entries.limit(0)).where("blocked").count() == 0 and urls.filter_urls(captures.limit(0), entries).count() == 0
@@ -303,6 +357,45 @@ def test_toxicity_scores(spark, real, labels):
     assert ((got.loc[marks.index] >= 0.5) == (marks == 1)).mean() > 0.9 and got.between(0, 1).all()
     odd = collected(toxicity.toxicity_scores(docs(spark, *ODD), labels.where("doc_id < 0")), "doc_id", "score")
     assert len(odd) == len(ODD) and {s for _, s in odd} == {0.5}
+    assert toxicity.toxicity_scores(docs(spark, *ODD).limit(0), labels).count() == 0
+
+
+def test_log_count_ratios_equal_brute_force(spark, real, labels):
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    texts = {r.doc_id: r.text or "" for r in real.collect() if r.doc_id in marks}
+    up, down = Counter(), Counter()
+    for d, t in texts.items():
+        raw = f" {t.lower()} ".encode()
+        (up if marks[d] else down).update({raw[i : i + k] for k in toxicity.ORDERS for i in range(len(raw) - k + 1)})
+    size = len({*up, *down})
+    all_up, all_down = up.total() + size, down.total() + size
+    want = {}
+    for g in {*up, *down}:
+        ratio = math.log((up[g] + 1) / all_up) - math.log((down[g] + 1) / all_down)
+        if up[g] + down[g] >= max(4, toxicity.LEAST_SHARE * len(texts)) and ratio >= toxicity.EVEN:
+            want[g] = ratio
+    sample = id_text(real).join(labels.select("doc_id", F.col("toxic").alias("mark")), "doc_id").select("doc_id", "mark", "text")
+    ids, ratio = toxicity.ratios(toxicity.counts(sample), len(texts))
+    assert len(ids) == len(want) > 100 and np.allclose(np.sort(ratio), sorted(want.values()), rtol=1e-4)
+
+
+@pytest.mark.parametrize(("score", "column"), [(quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")])
+def test_odd_rows_and_labels_with_a_fitted_model(spark, real, labels, score, column):
+    """Odd rows get a score of their text; null labels, repeated ones and those of absent documents do no harm."""
+    base = real.select("doc_id", "text").unionAll(docs(spark, *((i and i + 10**9, t) for i, t in ODD)).select("doc_id", "text"))
+    other = spark.createDataFrame([(None, 1, 1), (10**9 + 3, None, None), (10**9 + 99, 0, 0)], "doc_id long, quality int, toxic int")
+    more = labels.select("doc_id", "quality", "toxic").unionAll(labels.select("doc_id", "quality", "toxic").limit(20)).unionAll(other)
+    plain = dict(collected(score(real, labels), "doc_id", "score"))
+    got = collected(score(base, more), "doc_id", "score")
+    assert len(got) == real.count() + len(ODD) and all(s is not None and 0 <= s <= 1 for _, s in got)
+    odd = defaultdict(set)
+    for d, s in got:
+        odd[d].add(s)
+    assert len(odd[10**9 + 3]) == 1 and odd[10**9 + 3] == odd[10**9 + 7] and odd[10**9 + 1] == odd[10**9 + 2]
+    if score is toxicity.toxicity_scores:  # statistics of all documents, odd ones too, are quality's scales
+        assert all(abs(next(iter(odd[d])) - s) < 1e-9 for d, s in plain.items())
+    flipped = labels.withColumn(column, F.lit(None).cast("int"))
+    assert {s for _, s in collected(score(real, flipped), "doc_id", "score")} == {0.5}
 
 
 @pytest.mark.parametrize(("name", "column", "n", "held", "least"), [("op7_quality_ranking", "quality", 3, 1, 0.98), ("op10_toxicity", "toxic", 5, 0, 0.95)])
@@ -381,4 +474,11 @@ def test_pipeline_keeps_odd_rows(spark):
     kept = corpus_pipeline.neardup_stage(spark, rows, SF)
     assert kept.columns == rows.columns
     assert sorted(collected(kept, "doc_id"), key=repr) == sorted([(1,), (3,), (5,), (None,)], key=repr)
+    # an id with two texts: what has no duplicate stays
+    texts = {x: " ".join(f"{x}{k}" for k in range(20)) for x in "ab"}
+    for ids in ((1, 5, 5), (7, 7)):
+        rows = docs(spark, *zip(ids, "aab" if len(ids) == 3 else "ab", strict=True)).withColumn("text", F.when(F.col("text") == "a", texts["a"]).otherwise(texts["b"]))
+        kept = collected(corpus_pipeline.neardup_stage(spark, rows, SF), "doc_id", "text")
+        assert sorted(kept) == sorted([(ids[0], texts["a"]), (ids[-1], texts["b"])])
+    rows = docs(spark, *ODD, (8, "short"))
     assert corpus_pipeline.neardup_stage(spark, rows.limit(0), SF).count() == 0
