@@ -2,8 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; what it returns is written as Parquet and read
 again as the next one's ``docs``.  All but the last return the columns of ``documents`` and keep or drop whole rows;
-the last returns the packed pieces.  Rows with a null id are judged by their text and kept where it passes; they are
-in no class of duplicates.
+the last returns the packed pieces.  Rows with a null id, or with an id that others have, are judged by their text.
+
+The stages are operators of ``ordinaut.llm``: without that subpackage this module cannot be imported, and
+``__spark_entry__`` leaves the query out.
 """
 
 from __future__ import annotations
@@ -31,15 +33,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates."""
-    classes = written(neardup.class_ids(id_text(docs)), "classes")
-    # the list of what goes grows with the input, so it is not sent to every executor
-    kept = docs.join(classes.where("doc_id <> class_id").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    again = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionAll(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """One row of each class of near duplicates: that with the smallest id (a null one last), then the smallest digest of
+    its text.  Texts that share an id but no words are different documents."""
+    return neardup.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
