@@ -13,10 +13,6 @@ class OutOfBounds(OrdinautError, IndexError):
     """An index outside a sequence."""
 
 
-class NotSupported(OrdinautError, NotImplementedError):
-    """Something that has no meaning on immutable distributed data."""
-
-
 class NullValue(OrdinautError, ValueError):
     """A sequence with nulls where values are required."""
 

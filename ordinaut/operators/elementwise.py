@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, OutOfBounds
 from ..partition import block_offset, block_owner, quotient
-from ..plans.blockscan import dense_index
+from ..plans.blockscan import kept_index
 from ..seq import Seq
 
 Rule = Callable[[Column], Column]
@@ -74,10 +74,8 @@ def copy_first(seq: Seq, n: int) -> Seq:
 
 def copy_if(seq: Seq, test: Rule) -> Seq:
     """The values that pass, numbered anew in their order."""
-    kept = seq.df.where(test(seq.v))
-    n = kept.count()
-    rows = dense_index(kept, ["idx"], n, seq.n_blocks, name="_new")
-    return Seq(rows.drop("idx").withColumnRenamed("_new", "idx"), n, seq.n_blocks, seq.value)
+    rows, n = kept_index(seq.df, test(seq.v), seq.size, seq.n_blocks)
+    return Seq(rows, n, seq.n_blocks, seq.value)
 
 
 def replace_if(seq: Seq, test: Rule, new: Any) -> Seq:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..errors import InvalidArgument, OutOfBounds
 from ..partition import block_offset
-from ..plans.blockscan import Key, by_index, dense_index, with_window
+from ..plans.blockscan import Key, before_cut, by_index, dense_index, kept_index, keys, totals, with_window
 from ..seq import Seq
 from .elementwise import Rule
 
@@ -54,27 +54,66 @@ def is_sorted_in_blocks(seq: Seq) -> DataFrame:
     return rows.groupBy(F.col("_block").alias("block")).agg(F.coalesce(F.bool_and(~(seq.v < F.col("_before"))), F.lit(True)).alias("is_sorted"))
 
 
-def nth_element(seq: Seq, n: int, descending: bool = False) -> DataFrame:
-    """``valid, value, idx`` of the value at sorted place ``n`` with its own index; not valid outside the sequence.
+#: Rows that are ordered as they are; what is more is narrowed first.
+FEW = 1 << 17
+_NUMBERS = ("double", "float", "long", "integer", "short", "byte")
+
+
+def _narrowed(df: DataFrame, key: Key, n: int, size: int) -> tuple[DataFrame, int, int]:
+    """Fewer rows among which the one at sorted place ``n`` is, its place there, and their number.  Approximate quantiles
+    bracket the place, and two exact counts tell whether they do."""
+    c = F.col(key.name)
+    while size > FEW and df.schema[key.name].dataType.typeName() in _NUMBERS:
+        at = (n + 0.5) / size
+        at = 1 - at if key.descending else at
+        got = df.agg(F.percentile_approx(c, F.array(F.lit(max(0.0, at - 0.001)), F.lit(min(1.0, at + 0.001))), 10_000)).first()[0]
+        if got is None:
+            break
+        inside = c.between(*got)
+        before, k = df.agg(F.count_if(c > got[1] if key.descending else key.before(F.lit(got[0]))), F.count_if(inside)).first()
+        if not before <= n < before + k or k > size // 2 and got[0] != got[1]:
+            break
+        df, n, size = df.where(inside), n - before, k
+        if got[0] == got[1]:
+            break
+    return df, n, size
+
+
+def nth_row(df: DataFrame, order: Sequence[str | Key], n: int, size: int | None = None) -> DataFrame:
+    """The row at sorted place ``n`` of any frame, without ordering it: brackets of the leading columns leave few rows, and
+    only those are ordered.  What can't be bracketed (text, or mostly equal values) takes places by blocks."""
+    order = keys(order)
+    size = df.count() if size is None else size
+    if not 0 <= n < size:
+        return df.limit(0)
+    for key in order:
+        df, n, size = _narrowed(df, key, n, size)
+    columns = [k.column for k in order]
+    if size > FEW:
+        return dense_index(df, order, size, name="_place").where(F.col("_place") == n).drop("_place")
+    return df.orderBy(*columns).offset(n).limit(1)
+
+
+def _valid(row: DataFrame, value: str = "value") -> DataFrame:
+    return row.agg(F.count("*").alias("k"), F.first(value).alias("value"), F.first("idx").alias("idx")).select((F.col("k") > 0).alias("valid"), "value", "idx")
+
 
-    The values around the place are bracketed by approximate quantiles, counted exactly, and only those within the
-    bracket are ordered.
-    """
-    if not 0 <= n < seq.size:
-        return seq.df.limit(0).agg(F.lit(False).alias("valid"), F.first(seq.v).alias("value"), F.first("idx").alias("idx"))
-    if seq.size > 1 << 16 and seq.df.schema[seq.value].dataType.typeName() in ("double", "float", "long", "integer"):
-        at = (n + 0.5) / seq.size
-        at = 1 - at if descending else at
-        low, high = seq.df.agg(F.percentile_approx(seq.v, F.array(F.lit(max(0.0, at - 0.002)), F.lit(min(1.0, at + 0.002))), 10_000)).first()[0]
-        skip = seq.df.agg(F.count_if(seq.v > high if descending else seq.v < low), F.count_if(seq.v.between(low, high))).first()
-        if skip[0] <= n < skip[0] + skip[1]:
-            return _at(seq.df.where(seq.v.between(low, high)), seq, n - skip[0], descending, skip[1])
-    return _at(seq.df, seq, n, descending, seq.size)
+def nth_element(seq: Seq, n: int, descending: bool = False) -> DataFrame:
+    """``valid, value, idx`` of the value at sorted place ``n`` with its own index; not valid outside the sequence."""
+    return _valid(nth_row(seq.df.select("idx", seq.v.alias("value")), [Key("value", descending), "idx"], n, seq.size))
 
 
-def _at(df: DataFrame, seq: Seq, n: int, descending: bool, size: int) -> DataFrame:
-    rows = dense_index(df.select("idx", seq.v.alias("value")), [Key("value", descending), "idx"], size, seq.n_blocks, name="_place")
-    return rows.where(F.col("_place") == n).select(F.lit(True).alias("valid"), "value", "idx")
+def nth_of(df: DataFrame, order: Sequence[str | Key], value: str, n: int | None = None, descending: bool = False) -> DataFrame:
+    """The same of a table that is no sequence yet: ``idx`` is the number of rows before the found one in ``order``, which is
+    counted, so that nothing is numbered.  Without ``n``: the upper median."""
+    size = df.count()
+    n = size // 2 if n is None else n
+    order = keys(order)
+    row = nth_row(df, [Key(value, descending), *order], n, size).select(value, *(k.name for k in order)).first()
+    if row is None:
+        return _valid(df.select(F.col(value), F.lit(0).cast("long").alias("idx")).limit(0), value)
+    at = df.agg(F.count_if(before_cut(order, [F.lit(row[k.name]) for k in order])).alias("idx"))
+    return at.select(F.lit(True).alias("valid"), F.lit(row[value]).cast(df.schema[value].dataType).alias("value"), "idx")
 
 
 def median(seq: Seq) -> DataFrame:
@@ -98,10 +137,17 @@ def bottom_k(seq: Seq, k: int) -> DataFrame:
 
 
 def partition(seq: Seq, test: Rule) -> Seq:
-    """Values that pass first, both sides in their order; the old index stays in ``origin``."""
-    rows = seq.df.withColumn("_side", F.when(test(seq.v), 0).otherwise(1)).withColumnRenamed("idx", "origin")
-    rows = dense_index(rows, ["_side", "origin"], seq.size, seq.n_blocks)
-    return seq.with_df(rows.drop("_side"))
+    """Values that pass first, both sides in their order; the old index stays in ``origin``.  A value's new place follows from
+    how many pass before it, so nothing is ordered anew."""
+    rows = by_index(seq.df.withColumn("_side", F.coalesce(test(seq.v), F.lit(False)).cast("long")), seq.size, seq.n_blocks)
+    sums = totals(rows, F.sum("_side"))
+    passed = sums.agg(F.sum("_total")).first()[0] or 0
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select("_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    own = F.sum("_side").over(Window.partitionBy("_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_side")
+    rows = rows.join(F.broadcast(begins), "_block").withColumn("_before", F.col("_before") + own).withColumnRenamed("idx", "origin")
+    place = F.when(F.col("_side") == 1, F.col("_before")).otherwise(F.lit(passed) + F.col("origin") - F.col("_before"))
+    return seq.with_df(rows.withColumn("idx", place).drop("_block", "_before", "_side"))
 
 
 stable_partition = partition
@@ -130,10 +176,8 @@ def _same(seq: Seq, equal: Callable[[Column, Column], Column] | None) -> Column:
 
 def unique(seq: Seq, equal: Callable[[Column, Column], Column] | None = None) -> Seq:
     """Runs of equal values reduced to their first, numbered anew; across all blocks."""
-    kept = _pairs(seq).where(~_same(seq, equal)).drop("_before", "_has")
-    n = kept.count()
-    rows = dense_index(kept, ["idx"], n, seq.n_blocks, name="_new")
-    return Seq(rows.drop("idx").withColumnRenamed("_new", "idx"), n, seq.n_blocks, seq.value)
+    rows, n = kept_index(_pairs(seq), ~_same(seq, equal), seq.size, seq.n_blocks)
+    return Seq(rows.drop("_before", "_has"), n, seq.n_blocks, seq.value)
 
 
 def local_unique(seq: Seq) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..errors import InvalidArgument
 from ..functions import Reduction, max_location, min_location, reduction
 from ..partition import block_owner
+from ..plans.storage import written
 from ..seq import Seq
 from .elementwise import Rule, zip_pairs
 
@@ -140,11 +140,21 @@ def concat_fold(seq: Seq, between: str = "", init: str = "") -> DataFrame:
 
 
 def ordered_fold(seq: Seq, init: Any, step: Callable[[Column, Column], Column], most: int = 1_000_000) -> DataFrame:
-    """A fold that is not associative and so runs in one task: refused for more than ``most`` values."""
-    if seq.size > most:
-        raise InvalidArgument(f"an ordered fold of {seq.size} values; at most {most}")
+    """A fold that is not associative.  Each step needs the one before, so blocks of ``most`` values follow one another: each
+    is gathered from a table written by block and folded on, and the result goes into the next.  The time follows the
+    sequence, no task holds more than a block."""
     values = F.transform(F.array_sort(F.collect_list(F.struct("idx", seq.v.alias("v")))), lambda x: x["v"])
-    return seq.df.agg(F.aggregate(values, _lit(init), step).alias("value"))
+    if seq.size <= most:
+        return seq.df.agg(F.aggregate(values, _lit(init), step).alias("value"))
+    parts = -(-seq.size // most)
+    rows = seq.df.select("idx", seq.v.alias(seq.value), block_owner(seq.idx, seq.size, parts).alias("block"))
+    rows = written(rows.repartition(parts, "block").sortWithinPartitions("block"), "fold")  # a block's files tell its range
+    state, kind = _lit(init), None
+    for k in range(parts):
+        part = rows.where(F.col("block") == k).agg(F.aggregate(values, state, step).alias("value"))
+        kind = part.schema["value"].dataType
+        state = F.lit(part.first()[0]).cast(kind)
+    return seq.df.sparkSession.range(1).select(state.alias("value"))
 
 
 def fold_python(seq: Seq, zero: Any, update: Callable, merge: Callable, returns: str) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import Reduction, reduction
 from ..partition import block_owner
-from ..plans.blockscan import by_index, with_offsets, with_window
+from ..plans.blockscan import Key, by_index, by_order, keys, with_offsets, with_window
 from ..seq import Seq
 from .elementwise import Rule
 
@@ -84,6 +84,32 @@ def block_scan(seq: Seq, op: str = "sum", exclusive: bool = False):
     return totals.select("block", combine.agg(F.col("t")).over(frame).alias("value"))
 
 
+def keyed_scan(df: DataFrame, key: str, order: Sequence[str | Key], value: Column, op: str | Reduction = "sum", exclusive: bool = False, n: int | None = None, blocks: int | None = None) -> DataFrame:
+    """``df`` with ``scan``: the running reduction of ``value`` among the rows of one ``key`` in ``order`` (null before the first
+    in an exclusive one).  Rows are dealt to blocks by key and order; what a key has in earlier blocks is carried over by one
+    row for each block, so a key with a third of all rows is scanned by many tasks."""
+    kind = reduction(op)
+    combine = REDUCE_TOTALS.get(op, kind) if isinstance(op, str) else kind
+    n = df.count() if n is None else n
+    rows = by_order(df.withColumn("_x", value), [key, *order], n, blocks)
+    # the last key of a block is the only one that goes on in the next
+    ends = rows.groupBy("_block").agg(F.min(F.struct(key)).alias("_first"), F.max(F.struct(key)).alias("_last"))
+    ends = df.sparkSession.createDataFrame(ends.collect(), ends.schema)  # a row a block
+    last = rows.join(F.broadcast(ends), "_block").where(F.struct(key) == F.col("_last")).groupBy("_block", "_first", "_last").agg(kind.agg(F.col("_x")).alias("_t"))
+    last = df.sparkSession.createDataFrame(last.collect(), last.schema)
+    # of the blocks before, those that end with the key a block begins with
+    run = Window.partitionBy("_last").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    sums = last.withColumn("_t", combine.agg(F.col("_t")).over(run))
+    to_next = Window.orderBy("_block")
+    sums = sums.select("_block", "_first", F.lag("_last").over(to_next).alias("_key"), F.lag("_t").over(to_next).alias("_carry"))
+    carry = sums.where(F.col("_key") == F.col("_first")).select("_block", "_key", "_carry")
+    own = Window.partitionBy("_block", key).orderBy(*(k.column for k in keys(order))).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    rows = rows.withColumn("scan", kind.agg(F.col("_x")).over(own)).join(F.broadcast(carry), "_block", "left")
+    carried = F.when(F.struct(key) == F.col("_key"), F.col("_carry"))
+    out = F.coalesce(combine.join(carried, F.col("scan")), carried, F.col("scan"))
+    return rows.withColumn("scan", out).drop("_block", "_x", "_key", "_carry")
+
+
 def adjacent_difference(seq: Seq, rule: Callable[[Column, Column], Column] | None = None) -> Seq:
     """The first value, then ``rule(value, the one before)``: the difference unless told otherwise."""
     rule = rule or (lambda now, before: now - before)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .errors import InvalidArgument, NullValue
 from .plans.blockscan import Key, block_count, dense_index
+from .plans.storage import written
 
 
 @dataclass(frozen=True)
@@ -58,8 +59,9 @@ def from_dense(df: DataFrame, idx: str, value: Column, n: int | None = None, n_b
     return Seq(rows, df.count() if n is None else n, n_blocks)
 
 
-def from_ordered(df: DataFrame, order: Sequence[str | Key], value: Column, n_blocks: int = 0, keep: Sequence[str] = ()) -> Seq:
-    """Any table in a total order (end it with a unique key)."""
+def from_ordered(df: DataFrame, order: Sequence[str | Key], value: Column, n_blocks: int = 0, keep: Sequence[str] = (), store: bool = True) -> Seq:
+    """Any table in a total order (end it with a unique key).  The sequence is written once, so that later steps read it and
+    do not order the table again; without ``store`` it stays a plan, for what reads it once."""
     n = df.count()
-    rows = dense_index(df, order, n, n_blocks or None)
-    return Seq(rows.select("idx", value.alias("value"), *keep), n, n_blocks)
+    rows = dense_index(df, order, n, n_blocks or None).select("idx", value.alias("value"), *keep)
+    return Seq(written(rows, "sequence") if store else rows, n, n_blocks)

@@ -11,7 +11,7 @@ from ordinaut.operators import order as O
 from ordinaut.operators import reduce as R
 from ordinaut.operators import scan as S
 from ordinaut.operators import views as V
-from ordinaut.plans.blockscan import by_order, dense_index
+from ordinaut.plans.blockscan import Key, by_order, dense_index
 from ordinaut.seq import Seq, from_ordered
 
 BLOCKS = (1, 3, 7)
@@ -100,8 +100,11 @@ def test_reductions(spark):
     assert one(R.concat_fold(s, "-")) == {"value": "1-2-3-4"}
     assert one(R.ordered_fold(s, F.lit(0).cast("long"), lambda a, v: a * 10 + v)) == {"value": 1234}
     assert one(R.fold_python(s, "", lambda a, v: a + str(v), lambda a, b: a + b, "string")) == {"value": "1234"}
-    with pytest.raises(InvalidArgument):
-        R.ordered_fold(s, F.lit(0), lambda a, v: a, most=3)
+    long = list(range(1, 40))
+    want = 0
+    for v in long:
+        want = (want * 7 + v) % 1009
+    assert all(one(R.ordered_fold(seq(spark, long), F.lit(0).cast("long"), lambda a, v: (a * 7 + v) % 1009, most=k)) == {"value": want} for k in (3, 10, 100))
     with pytest.raises(InvalidArgument):
         R.reduce(s, "mean")
     assert {r["local"] for r in R.distributed_reduce(seq(spark, [1, 2, 3, 4], 2), "sum").collect()} == {3, 7}
@@ -140,6 +143,51 @@ def test_nth_element_of_many(spark):
         assert one(O.nth_element(s, n, descending=True))["value"] == want[-1 - n]
 
 
+def test_nulls_and_nans_have_their_place(spark):
+    """The order is Spark's own, for any number of blocks, few cuts or many."""
+    import random
+
+    draw = random.Random(1)
+    rows = [(i, None if draw.random() < 0.2 else draw.choice([float("nan"), float(draw.randrange(9)), draw.random(), float("inf"), -0.0]), draw.choice(["a", "é", "\\", '"', "", None])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, v double, t string").repartition(4)
+    for order in ([Key("v"), Key("id")], [Key("v", True), Key("t"), Key("id")], [Key("t", True), Key("v"), Key("id", True)]):
+        want = [r.id for r in df.orderBy(*(k.column for k in order)).collect()]
+        for p in (1, 2, 8, 64, 100):
+            assert [r.id for r in dense_index(df, order, 1500, p).orderBy("idx").collect()] == want
+        assert by_order(df, order, 1500, 100).groupBy("_block").count().agg(F.max("count")).first()[0] < 200
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 20])
+def test_keyed_scan_carries_over_blocks(spark, blocks):
+    import random
+
+    draw = random.Random(2)
+    rows = [(draw.choice(["a", "a", "a", "b", "c", None]), i, draw.randrange(100)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    for op, exclusive in (("sum", False), ("sum", True), ("max", False), ("count", False)):
+        own, want = {}, {}
+        for k, i, v in rows:
+            own.setdefault(k, []).append(v)
+            seen = own[k][:-1] if exclusive else own[k]
+            want[i] = {"sum": sum(seen) if seen else None, "max": max(seen, default=None), "count": len(seen)}[op]
+        assert {r.i: r.scan for r in S.keyed_scan(df, "k", ["i"], F.col("v"), op, exclusive, blocks=blocks).collect()} == want
+
+
+def test_nth_of_a_table(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"), (F.col("id") % 37).cast("double").alias("v"))
+    rows = sorted((r.k, r.v) for r in df.collect())
+    place = {k: i for i, (k, _) in enumerate(rows)}
+    for few in (1 << 17, 50):
+        O.FEW = few
+        for n in (0, 1, 500, 999):
+            for down in (False, True):
+                k, v = sorted(rows, key=lambda r: (-r[1] if down else r[1], r[0]))[n]
+                assert one(O.nth_of(df, ["k"], "v", n, down)) == {"valid": True, "value": v, "idx": place[k]}
+        assert one(O.nth_of(df, ["k"], "v"))["value"] == sorted(r[1] for r in rows)[500]
+    O.FEW = 1 << 17
+    assert one(O.nth_of(df, ["k"], "v", 1000)) == {"valid": False, "value": None, "idx": None}
+
+
 def test_views(spark):
     s = seq(spark, list(range(20)))
     starts = [r["start"] for r in V.windows(s, 4, 3, n=lambda: F.count("*")).orderBy("start").collect()]
