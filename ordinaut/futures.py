@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterable
-from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from concurrent.futures import Future, ThreadPoolExecutor
 from typing import Any
 
 _POOL = ThreadPoolExecutor(16, thread_name_prefix="ordinaut")
@@ -67,18 +68,45 @@ def flat_map(future: Future, step: Callable[[Any], Future]) -> Future:
 
 
 def when_all(futures: Iterable[Future]) -> Future:
-    """All results, in the order given; the first failure otherwise."""
-    futures = list(futures)
-    return async_(lambda: [f.result() for f in futures])
+    """All results, in the order given; the first failure otherwise.  Nothing waits in a thread."""
+    futures, out, lock = list(futures), Future(), threading.Lock()
+    left = len(futures)
+    if not futures:
+        return ready([])
+
+    def done(f: Future) -> None:
+        nonlocal left
+        with lock:
+            left -= 1
+            last = not left
+        if last:
+            error = next((e for g in futures if (e := g.exception())), None)
+            out.set_exception(error) if error else out.set_result([g.result() for g in futures])
+
+    for f in futures:
+        f.add_done_callback(done)
+    return out
 
 
 def when_any(futures: Iterable[Future]) -> Future:
     """``(place, result)`` of one that is done first."""
-    futures = list(futures)
+    futures, out, lock = list(futures), Future(), threading.Lock()
+    over = False
+
+    def done(at: int, f: Future) -> None:
+        nonlocal over
+        with lock:
+            first, over = not over, True
+        if first:
+            out.set_exception(e) if (e := f.exception()) else out.set_result((at, f.result()))
+
+    for k, f in enumerate(futures):
+        f.add_done_callback(lambda f, k=k: done(k, f))
+    return out
 
-    def first() -> tuple[int, Any]:
-        done = wait(futures, return_when=FIRST_COMPLETED).done
-        at = next(k for k, f in enumerate(futures) if f in done)
-        return at, futures[at].result()
 
-    return async_(first)
+def chain(future: Future, *steps: Callable[[Any], Any]) -> Future:
+    """Steps one after another, each of the result before."""
+    for step in steps:
+        future = then(future, step)
+    return future

@@ -6,16 +6,37 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..errors import InvalidArgument
 from ..functions import Reduction, reduction
 from ..partition import block_owner, dynamic_owner
+from ..plans.blockscan import MOST_BLOCKS, dense_index
 from ..seq import Seq
+from .scan import keyed_scan
+
+
+def _each_block(rows: DataFrame, df: DataFrame, block: str) -> DataFrame:
+    """``rows`` once for every block of ``df``.  The blocks' numbers, ``MOST_BLOCKS`` at most, go into the plan, so that no rows
+    are sent to every executor; beyond them Spark joins both as it sees fit."""
+    ids = df.select(block).distinct()
+    few = [r[0] for r in ids.limit(MOST_BLOCKS + 1).collect()]
+    if len(few) > MOST_BLOCKS:
+        return ids.crossJoin(rows)
+    kind = ids.schema[0].dataType
+    listed = F.array(*(F.lit(b) for b in few)).cast(T.ArrayType(kind))
+    return rows.select(F.explode(listed).alias(block), "*")
 
 
 def broadcast(df: DataFrame, root: int, block: str = "block") -> DataFrame:
-    """The root block's rows for every block; its rows go out, so they have to be few."""
-    blocks = df.select(block).distinct()
-    return blocks.join(F.broadcast(df.where(F.col(block) == root).drop(block)))
+    """The root block's rows for every block."""
+    return _each_block(df.where(F.col(block) == root).drop(block), df, block)
+
+
+def replicated(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """An operand that every task joins with: sent to all executors when it has ``most`` rows at most, otherwise left to
+    Spark's choice."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def allreduce(df: DataFrame, value: str, op: str | Reduction, block: str = "block", slot: str | None = None) -> DataFrame:
@@ -39,14 +60,24 @@ def scatter_counts(seq: Seq, counts: Sequence[int]) -> DataFrame:
     return seq.df.withColumn("block", dynamic_owner(seq.idx, counts, seq.size))
 
 
-def gather(df: DataFrame, order: Sequence[str], value: str) -> DataFrame:
-    """One row ``values`` in order: what a root receives, for results that fit one row."""
+def gather(df: DataFrame, order: Sequence[str], value: str, root: int = 0) -> DataFrame:
+    """``block, idx, value``: all values in order, as the root receives them.  They are rows and stay spread, whatever their
+    number."""
+    rows = dense_index(df.select(*order, F.col(value).alias("_v")), order)
+    return rows.select(F.lit(root).cast("long").alias("block"), "idx", F.col("_v").alias("value"))
+
+
+def gather_row(df: DataFrame, order: Sequence[str], value: str, most: int = 1 << 16) -> DataFrame:
+    """One row ``values`` in order, for results that fit one row: more than ``most`` are refused, ``gather`` takes any."""
+    if df.limit(most + 1).count() > most:
+        raise InvalidArgument(f"more than {most} values don't fit one row")
     listed = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
     return df.agg(F.transform(listed, lambda x: x["_v"]).alias("values"))
 
 
 def allgather(df: DataFrame, order: Sequence[str], value: str, block: str = "block") -> DataFrame:
-    return df.select(block).distinct().join(F.broadcast(gather(df, order, value)))
+    """``block, idx, value``: all values in order, once for every block."""
+    return _each_block(gather(df, order, value).drop("block"), df, block)
 
 
 def alltoall(df: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
@@ -74,6 +105,19 @@ def scatter_reduce(target: Seq, updates: DataFrame, op: str | Reduction = "sum")
     return target.with_df(rows.withColumn(target.value, F.coalesce(kind.join(target.v, F.col("_u")), target.v)).drop("_u"))
 
 
+def get_accumulate(target: Seq, updates: DataFrame, op: str | Reduction = "sum") -> DataFrame:
+    """``seq, idx, old`` for each of ``updates(seq, idx, value)``: what it finds at its place, which holds the target's value and
+    all updates with a smaller ``seq``.  The updates are scanned by place and ``seq``, so a place with very many of them is
+    shared out among blocks.  ``fetch_and_op`` is the same; the target afterwards is ``scatter_reduce``'s."""
+    kind = reduction(op)
+    before = keyed_scan(updates, "idx", ["seq"], F.col("value"), kind, exclusive=True)
+    rows = before.join(target.df.select("idx", target.v.alias("_t")), "idx")
+    return rows.select("seq", "idx", F.coalesce(kind.join(F.col("_t"), F.col("scan")), F.col("_t")).alias("old"))
+
+
+fetch_and_op = get_accumulate
+
+
 def with_role(df: DataFrame, roles: dict[str, Callable[[Column], Column]], block: str = "block") -> DataFrame:
     """``role`` by the first predicate of the block that holds."""
     out = F.lit(None).cast("string")

@@ -15,15 +15,15 @@ class KVMap:
     df: DataFrame
 
     def insert(self, rows: DataFrame) -> KVMap:
-        """New keys only: a key that is there, or that came earlier (by ``seq``), keeps its value."""
-        fresh = rows.groupBy("key").agg(F.min_by("value", "seq").alias("value")).join(self.df, "key", "left_anti")
+        """New keys only: a key that is there, or that came earlier (by ``seq``, then the smaller value), keeps its value."""
+        fresh = rows.groupBy("key").agg(F.min(F.struct("seq", "value"))["value"].alias("value")).join(self.df, "key", "left_anti")
         return KVMap(self.df.unionByName(fresh.select("key", "value")))
 
     def assign(self, rows: DataFrame) -> KVMap:
-        """Inserted or overwritten; the latest by ``seq`` wins.  One aggregation instead of a join."""
+        """Inserted or overwritten; the latest by ``seq`` wins, then the larger value.  One aggregation instead of a join."""
         old = self.df.select("key", "value", F.lit(0).alias("_new"), F.lit(0).cast("long").alias("_seq"))
         new = rows.select("key", "value", F.lit(1).alias("_new"), F.col("seq").cast("long").alias("_seq"))
-        return KVMap(old.unionByName(new).groupBy("key").agg(F.max_by("value", F.struct("_new", "_seq")).alias("value")))
+        return KVMap(old.unionByName(new).groupBy("key").agg(F.max(F.struct("_new", "_seq", "value"))["value"].alias("value")))
 
     def erase(self, keys: DataFrame) -> KVMap:
         return KVMap(self.df.join(keys.select("key"), "key", "left_anti"))
@@ -52,6 +52,23 @@ class KVMap:
     def get(self, key) -> DataFrame:
         return self.df.where(F.col("key") == F.lit(key)).select("value")
 
+    def get_or(self, key, default) -> DataFrame:
+        """One row: the value of a key, or the default."""
+        return self.get(key).agg(F.coalesce(F.first("value"), F.lit(default)).alias("value"))
+
+    def put(self, key, value) -> KVMap:
+        """``map[key] = value``."""
+        kind = self.df.schema
+        row = self.df.sparkSession.range(1).select(F.lit(key).cast(kind["key"].dataType).alias("key"), F.lit(value).cast(kind["value"].dataType).alias("value"), F.col("id").alias("seq"))
+        return self.assign(row)
+
+    def discard(self, *keys) -> KVMap:
+        return KVMap(self.df.where(~F.col("key").isin(list(keys)))) if keys else self
+
+    def items(self, p: int) -> DataFrame:
+        """All entries with their owners, as iteration meets them: owner by owner, keys in order."""
+        return self.df.select(self.owner(p).alias("owner"), "key", "value")
+
     def size(self) -> DataFrame:
         return self.df.agg(F.count("*").alias("size"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidArgument
-from ..partition import block_offset, block_owner, delinear
+from ..partition import block_offset, block_owner, cyclic_owner, delinear
 from ..seq import Seq
 
 #: Element types by name; there are no unsigned types, so those are widened by one step.
@@ -59,13 +59,23 @@ def generated_by_state(spark: SparkSession, n: int, generator: Callable[[], Iter
     return Seq(blocks.repartition(n_blocks, "block").mapInArrow(run, "idx long, value double"), n, n_blocks)
 
 
-def from_values(spark: SparkSession, values: Sequence, dtype: str = "int64", n_blocks: int = 0) -> Seq:
-    """A Python list or NumPy array."""
+def from_values(spark: SparkSession, values: Sequence, dtype: str = "int64", n_blocks: int = 0, cyclic: int = 0) -> Seq:
+    """A Python list or NumPy array by element type, sent as Arrow columns.  ``n_blocks`` is the block placement; with ``cyclic``
+    the frame also has ``owner``, the block of each value when runs of that many go to the blocks in turn."""
+    import pyarrow as pa
+
     kind = TYPES[dtype]
     schema = T.StructType([T.StructField("idx", T.LongType(), False), T.StructField("value", kind, False)])
-    cast = float if dtype.startswith("float") else lambda v: v.item() if hasattr(v, "item") else v
-    rows = [(i, cast(v)) for i, v in enumerate(values)]
-    return Seq(spark.createDataFrame(rows, schema), len(rows), n_blocks)
+    if dtype in _ARROW:
+        table = pa.table({"idx": pa.array(range(len(values)), pa.int64()), "value": pa.array(values, getattr(pa, _ARROW[dtype])())})
+        df = spark.createDataFrame(table, schema=schema)
+    else:
+        df = spark.createDataFrame([(i, v.item() if hasattr(v, "item") else v) for i, v in enumerate(values)], schema)
+    out = Seq(df, len(values), n_blocks)
+    return out.with_df(df.withColumn("owner", cyclic_owner(F.col("idx"), out.n_blocks, cyclic))) if cyclic else out
+
+
+_ARROW = {"int8": "int8", "int16": "int16", "int32": "int32", "int64": "int64", "uint8": "int16", "uint16": "int32", "uint32": "int64", "float32": "float32", "float64": "float64", "bool": "bool_", "string": "string"}
 
 
 def from_numpy(spark: SparkSession, array, n_blocks: int = 0) -> Seq:

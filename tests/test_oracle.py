@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from ordinaut import queries_more  # noqa: F401
 from ordinaut.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -63,7 +63,11 @@ def test_collectives(spark):
     assert {r["value"] for r in C.allreduce(ranks, "value", "sum").collect()} == {15}
     assert rows(C.reduce_to_root(ranks, "value", "sum", 1))[1] == (1, 15)
     assert rows(C.broadcast(ranks, 3)) == [(b, 4) for b in range(5)]
-    assert C.gather(ranks, ["block"], "value").first()[0] == [1, 2, 3, 4, 5]
+    assert C.gather_row(ranks, ["block"], "value").first()[0] == [1, 2, 3, 4, 5]
+    assert rows(C.gather(ranks, ["block"], "value", 2)) == [(2, b, b + 1) for b in range(5)] and C.allgather(ranks, ["block"], "value").count() == 25
+    with pytest.raises(InvalidArgument):
+        C.gather_row(ranks, ["block"], "value", most=4)
+    assert C.replicated(ranks, 4) is ranks
     assert C.alltoall(spark.sql("select 1 src, 2 dst")).first().asDict() == {"dst": 1, "src": 2}
     assert rows(C.with_role(ranks, {"head": C.first_n(1), "tail": C.last_n(2, 5)}).select("block", F.coalesce("role", F.lit("-"))))[:2] == [(0, "head"), (1, "-")]
     seq = src.from_values(spark, [1, 2, 3])
