@@ -2,45 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-_own_dir = ""
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where it is unset, a temporary one in local
-    mode, which has one machine; elsewhere an error, as executors would write where nobody else reads."""
-    global _own_dir
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
-        if not _own_dir:
-            _own_dir = "file://" + tempfile.mkdtemp(prefix="ordinaut-")
-            atexit.register(shutil.rmtree, _own_dir.removeprefix("file://"), ignore_errors=True)
-        path = _own_dir
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..plans.storage import scratch_path, shared_dir, written  # noqa: F401 - operators take them from here
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +47,8 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFr
     less).  Hot keys are ``HOT_SHARE`` at most, as their rows are more than that share of the total, so they go to every
     executor and the rows of ``many`` stay where they are; other keys meet in a shuffle.  So no task gathers the rows of
     one key, however many it has."""
+    if total <= HOT_ROWS:  # no key can be hot
+        return many.join(one.hint("merge"), key)
     hot = F.col("n") > max(HOT_ROWS, total // HOT_SHARE)
     few = F.broadcast(one.where(hot))
     rest = many.join(F.broadcast(one.where(hot).select(key)), key, "left_anti")

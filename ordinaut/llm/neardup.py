@@ -164,30 +164,40 @@ def links(reps: DataFrame, texts_among) -> DataFrame:
     """Verified pairs ``a, b`` among ``reps(node, size, bands)``; ``texts_among(nodes)`` gives ``node, text`` of some of them."""
     rows = reps.where("bands is not null").select("node", "size", F.explode("bands").alias("key"))
     shared = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    members = written(spread_join(rows, shared, "key", sum_of(shared, "n")).select("node", "size", "key", "n"), "buckets")
+    total, n_large = (int(x or 0) for x in shared.agg(F.sum("n"), F.sum(F.when(F.col("n") > SMALL, F.col("n")))).first())
+    members = written(spread_join(rows, shared, "key", total).select("node", "size", "key", "n"), "buckets")
+    pairs = _within(members.where(F.col("n") <= SMALL))
     large = members.where(F.col("n") > SMALL)
+    if n_large:
+        pairs = pairs.unionAll(_stars(large, n_large))
+    pairs = written(_once(pairs), "pairs")
+    texts = written(texts_among(members.select("node").distinct()), "texts")
+    found = written(verified(pairs, texts), "links")
+    return found.unionAll(_between(large, pairs, found, texts)) if n_large else found
+
+
+def _stars(large: DataFrame, n_large: int) -> DataFrame:
+    """Every member of a large bucket with two centres."""
     # the centres: the member that meets most others over all large buckets, which is near the middle, and the smallest number
     met = large.groupBy("node").agg(F.sum("n").alias("met"))
     own = large.join(met.hint("merge"), "node").groupBy("key")
     own = own.agg(F.count("*").alias("n"), F.max(F.struct("met", "node", "size")).alias("c"), F.min(F.struct("node", "size")).alias("low"))
     centres = written(own.select("key", "n", F.array(F.struct("c.node", "c.size"), "low").alias("centres")), "centres")
-    n_large = sum_of(centres, "n")
     star = spread_join(large.drop("n"), centres, "key", n_large).select("node", "size", F.explode("centres").alias("c"))
-    star = star.where((F.col("node") != F.col("c.node")) & _fits(F.col("size"), F.col("c.size"))).select(F.col("c.node").alias("hub"), F.col("node").alias("member"))
-    pairs = written(_once(_within(members.where(F.col("n") <= SMALL)).unionAll(star)), "pairs")
-    texts = written(texts_among(members.select("node").distinct()), "texts")
-    found = written(verified(pairs, texts), "links")
-    if not n_large:
-        return found
-    # members of large buckets that are in no component with the others yet
+    return star.where((F.col("node") != F.col("c.node")) & _fits(F.col("size"), F.col("c.size"))).select(F.col("c.node").alias("hub"), F.col("node").alias("member"))
+
+
+def _between(large: DataFrame, pairs: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members of large buckets that the ``found`` ones leave in different components."""
     root = components(found)
     placed = written(large.select("key", "node", "size").join(root.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("k"), F.min("size").alias("least"))
     main = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.max_by("root", F.struct("k", "root")).alias("main"), F.min("least").alias("least"))
     main = written(main.where("parts > 1"), "main")
-    split = written(spread_join(placed, main, "key", sum_of(main, "n")).select("key", "node", "size", "root", "main", "least"), "split")
-    if split.isEmpty():
-        return found
+    n_split = sum_of(main, "n")
+    if not n_split:
+        return found.limit(0)
+    split = written(spread_join(placed, main, "key", n_split).select("key", "node", "size", "root", "main", "least"), "split")
     # a text whose shingles are in too few others has no link; what remains is held against all of the other components
     among = lambda rows: texts.join(rows.select("node").distinct().hint("merge"), "node", "left_semi")
     split = split.join(unshared(among(split)).hint("merge"), "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
@@ -196,7 +206,7 @@ def links(reps: DataFrame, texts_among) -> DataFrame:
     tried = pairs.select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b"))
     left = close.join(tried.hint("merge"), ["a", "b"], "left_anti")
     left = written(left.select(F.col("a").alias("hub"), F.col("b").alias("member")), "rest")
-    return found.unionAll(written(verified(left, texts), "links"))
+    return written(verified(left, texts), "links")
 
 
 def _residue(split: DataFrame) -> DataFrame:
