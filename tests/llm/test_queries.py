@@ -22,7 +22,7 @@ import corpus_pipeline
 from ordinaut.llm import common, components, decontaminate, licenses, media, neardup, packing, quality, sharding, toxicity, urls, warc
 from ordinaut.llm.common import id_text, read_table
 from ordinaut.llm.queries import ORACLE_SQL, QUERIES
-from ordinaut.llm.tokens import multiset_jaccard, tokens
+from ordinaut.llm.tokens import multiset_jaccard, tokens, windows
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, score double, rep long, key string"
@@ -273,6 +273,24 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(rows, bench.limit(0)).count() == 0 and decontaminate.contaminated(rows.limit(0), bench).count() == 0
 
 
+def test_tiling_of_the_table_equals_all_pairs(spark, real):
+    """The query against every pair of a document and an item, tiled by the plain way of falling lengths."""
+    bench = read_table(spark, SF, "benchmark")
+    items = [(r.item_id, tokens([r.text or ""])[0]) for r in bench.collect()]
+    want = []
+    for r in real.collect():
+        words = tokens([r.text or ""])[0]
+        seen = set(windows(words, 5).tolist())
+        for item, own in items:
+            if seen.isdisjoint(windows(own, 5).tolist()):
+                continue
+            marked = sum(n for n, _, _ in decontaminate.tiles_by_length(own, words))
+            if marked >= decontaminate.COVERAGE * len(own):
+                want.append((r.doc_id, item, marked))
+    got = collected(QUERIES["op4_string_tiling"](spark, SF), "doc_id", "item_id", "matched_words")
+    assert sorted(got) == sorted(want) and len(want) > 3
+
+
 def test_url_filter(spark):
     entries = spark.sql("""select * from values ('host', 'a.x.org', date'2024-01-10', 'add'), ('host', 'a.x.org', date'2024-01-20', 'remove'),
       ('domain', 'y.org', date'2024-01-05', 'add'), ('prefix', 'b.x.org/p', date'2024-01-01', 'add'), ('host', 'z.org', date'2024-01-01', 'add'), ('host', 'z.org', date'2024-01-01', 'remove'),
@@ -482,3 +500,19 @@ def test_pipeline_keeps_odd_rows(spark):
         assert sorted(kept) == sorted([(ids[0], texts["a"]), (ids[-1], texts["b"])])
     rows = docs(spark, *ODD, (8, "short"))
     assert corpus_pipeline.neardup_stage(spark, rows.limit(0), SF).count() == 0
+
+
+def test_pipeline_stages_take_odd_rows_and_empty_tables(spark, real, labels):
+    odd = [*ODD, (5, "another text of the same id"), (9, "word " * 30), (9, "word " * 30)]
+    frame = real.unionAll(spark.createDataFrame([(i, t, None, None, None) for i, t in odd], real.schema))
+    frame = spark.createDataFrame(frame.toPandas().astype(object).where(lambda x: x.notna(), None).values.tolist(), real.schema)
+    marks = {name: stage for name, stage in corpus_pipeline.STAGES}
+    for name in ("quality", "toxicity", "decontamination"):
+        out = marks[name](spark, frame, SF)
+        assert out.schema.names == real.schema.names and 0 < out.count() < frame.count()
+        # a row's fate follows from its text
+        kept, gone = {r.text or "" for r in out.collect()}, {r.text or "" for r in frame.exceptAll(out).collect()}
+        assert kept.isdisjoint(gone) and {""} <= kept | gone
+        assert marks[name](spark, frame.limit(0), SF).count() == 0
+    assert marks["packing"](spark, frame, SF).select("doc_id").where("doc_id is null").count() == 1
+    assert marks["packing"](spark, frame.limit(0), SF).count() == 0
