@@ -42,18 +42,22 @@ def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20
 HOT_ROWS, HOT_SHARE = 512, 20_000
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, total: int, most: int | None = None) -> DataFrame:
     """``many`` joined with ``one``, in which each ``key`` stands once with ``n``, its rows in ``many`` (``total`` in all, or
-    less).  Hot keys are ``HOT_SHARE`` at most, as their rows are more than that share of the total, so they go to every
-    executor and the rows of ``many`` stay where they are; other keys meet in a shuffle.  So no task gathers the rows of
-    one key, however many it has."""
-    if total <= HOT_ROWS:  # no key can be hot
-        return many.join(one.hint("merge"), key)
-    hot = F.col("n") > max(HOT_ROWS, total // HOT_SHARE)
-    few = F.broadcast(one.where(hot))
-    rest = many.join(F.broadcast(one.where(hot).select(key)), key, "left_anti")
-    return many.join(few, key).unionAll(rest.join(one.where(~hot).hint("merge"), key))
-
-
-def sum_of(df: DataFrame, column: str) -> int:
-    return int(df.agg(F.sum(column)).first()[0] or 0)
+    less; ``most`` for one key, where that is known).  Hot keys are ``HOT_SHARE`` at most, as their rows are more than that
+    share of the total, so they go to every executor and the rows of ``many`` stay where they are; other keys meet in a
+    shuffle.  So no task gathers the rows of one key, however many it has."""
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    rest = one.hint("merge")
+    if min(total, total if most is None else most) <= least:  # no key is hot
+        return many.join(rest, key)
+    hot = F.col("n") > least
+    few = F.broadcast(one.where(hot).withColumn("_hot", F.lit(True)))
+    met = many.join(few, key, "left")
+    cold = met.where("_hot is null").select(*many.columns).join(one.where(~hot).hint("merge"), key)
+    return met.where("_hot").select(*cold.columns).unionAll(cold)
+
+
+def sum_and_most(df: DataFrame, column: str) -> tuple[int, int]:
+    """The sum and the largest of a column, which tell ``spread_join`` whether there are hot keys."""
+    return tuple(int(x or 0) for x in df.agg(F.sum(column), F.max(column)).first())

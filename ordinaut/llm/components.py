@@ -13,7 +13,7 @@ def _large(edges: DataFrame, n: int) -> DataFrame:
     """Every node's larger neighbours go to the smallest of its neighbourhood."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-    return spread_join(both, low, "a", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    return spread_join(both, low, "a", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
 
 
 def _small(edges: DataFrame, n: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import band_keys, signatures
-from .common import slices, spread_join, sum_of, texts_of, written
+from .common import slices, spread_join, sum_and_most, texts_of, written
 from .components import components
 from .tokens import bag, mix, shingles, similarity, tokens
 
@@ -107,13 +107,12 @@ def _apart(a, b):
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b`` of those ``pairs(hub, member)``, already written, whose ``texts(node, text)`` are similar enough.  A hub's text
     goes out once for each ``GROUP`` of its members and theirs once for each pair, so a hub may have any number of members."""
-    total = pairs.count()
     hubs = written(pairs.groupBy("hub").agg(F.count("*").alias("n")), "hubs")
     salts = F.expr(f"n div {GROUP} + 1")
     # neither side has a bound, so neither is sent to every executor, however small it looks
     own = texts.select(F.col("node").alias("hub"), "text").hint("merge").join(hubs.hint("merge"), "hub")
     own = own.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "text")
-    dealt = spread_join(pairs.select("hub", "member"), hubs, "hub", total).select("hub", F.pmod(F.xxhash64("member"), salts).alias("salt"), "member")
+    dealt = spread_join(pairs.select("hub", "member"), hubs, "hub", *sum_and_most(hubs, "n")).select("hub", F.pmod(F.xxhash64("member"), salts).alias("salt"), "member")
     met = dealt.hint("merge").join(texts.select(F.col("node").alias("member"), "text").hint("merge"), "member").select("hub", "salt", "member", "text")
 
     def run(batches):
@@ -160,44 +159,47 @@ def _once(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")).agg(F.max("hub").alias("hub")).select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"))
 
 
-def links(reps: DataFrame, texts_among) -> DataFrame:
-    """Verified pairs ``a, b`` among ``reps(node, size, bands)``; ``texts_among(nodes)`` gives ``node, text`` of some of them."""
+def roots(reps: DataFrame, texts_among) -> DataFrame:
+    """``node, root`` of those of ``reps(node, size, bands)`` that have links; ``texts_among(nodes)`` gives ``node, text`` of some."""
     rows = reps.where("bands is not null").select("node", "size", F.explode("bands").alias("key"))
     shared = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    total, n_large = (int(x or 0) for x in shared.agg(F.sum("n"), F.sum(F.when(F.col("n") > SMALL, F.col("n")))).first())
-    members = written(spread_join(rows, shared, "key", total).select("node", "size", "key", "n"), "buckets")
+    total, most, n_large = (int(x or 0) for x in shared.agg(F.sum("n"), F.max("n"), F.sum(F.when(F.col("n") > SMALL, F.col("n")))).first())
+    members = written(spread_join(rows, shared, "key", total, most).select("node", "size", "key", "n"), "buckets")
     pairs = _within(members.where(F.col("n") <= SMALL))
     large = members.where(F.col("n") > SMALL)
     if n_large:
-        pairs = pairs.unionAll(_stars(large, n_large))
+        pairs = pairs.unionAll(_stars(large, n_large, most))
     pairs = written(_once(pairs), "pairs")
     texts = written(texts_among(members.select("node").distinct()), "texts")
     found = written(verified(pairs, texts), "links")
-    return found.unionAll(_between(large, pairs, found, texts)) if n_large else found
+    root = components(found)
+    more = _between(large, pairs, root, texts) if n_large else None
+    if more is None or more.isEmpty():
+        return root
+    return components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
 
 
-def _stars(large: DataFrame, n_large: int) -> DataFrame:
+def _stars(large: DataFrame, n_large: int, most: int) -> DataFrame:
     """Every member of a large bucket with two centres."""
     # the centres: the member that meets most others over all large buckets, which is near the middle, and the smallest number
     met = large.groupBy("node").agg(F.sum("n").alias("met"))
     own = large.join(met.hint("merge"), "node").groupBy("key")
     own = own.agg(F.count("*").alias("n"), F.max(F.struct("met", "node", "size")).alias("c"), F.min(F.struct("node", "size")).alias("low"))
     centres = written(own.select("key", "n", F.array(F.struct("c.node", "c.size"), "low").alias("centres")), "centres")
-    star = spread_join(large.drop("n"), centres, "key", n_large).select("node", "size", F.explode("centres").alias("c"))
+    star = spread_join(large.drop("n"), centres, "key", n_large, most).select("node", "size", F.explode("centres").alias("c"))
     return star.where((F.col("node") != F.col("c.node")) & _fits(F.col("size"), F.col("c.size"))).select(F.col("c.node").alias("hub"), F.col("node").alias("member"))
 
 
-def _between(large: DataFrame, pairs: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between members of large buckets that the ``found`` ones leave in different components."""
-    root = components(found)
+def _between(large: DataFrame, pairs: DataFrame, root: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links between members of large buckets that are in different components so far, ``root(node, root)``."""
     placed = written(large.select("key", "node", "size").join(root.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("k"), F.min("size").alias("least"))
     main = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.max_by("root", F.struct("k", "root")).alias("main"), F.min("least").alias("least"))
     main = written(main.where("parts > 1"), "main")
-    n_split = sum_of(main, "n")
+    n_split, most = sum_and_most(main, "n")
     if not n_split:
-        return found.limit(0)
-    split = written(spread_join(placed, main, "key", n_split).select("key", "node", "size", "root", "main", "least"), "split")
+        return None
+    split = written(spread_join(placed, main, "key", n_split, most).select("key", "node", "size", "root", "main", "least"), "split")
     # a text whose shingles are in too few others has no link; what remains is held against all of the other components
     among = lambda rows: texts.join(rows.select("node").distinct().hint("merge"), "node", "left_semi")
     split = split.join(unshared(among(split)).hint("merge"), "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
@@ -216,7 +218,7 @@ def _residue(split: DataFrame) -> DataFrame:
     split = written(split.select("key", "node", "root", "main", "size", "common", "profile"), "profiled")
     sides = split.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main")).alias("odd")).where("odd > 0")
     sides = written(sides.select("key", "n", F.expr(f"odd div {SIDE} + 1").alias("rows"), F.expr(f"n div {SIDE} + 1").alias("columns")), "sides")
-    dealt = spread_join(split, sides, "key", sum_of(sides, "n"))
+    dealt = spread_join(split, sides, "key", *sum_and_most(sides, "n"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     kept = ("node", "root", "size", "common", "profile")
     odd = dealt.where("root <> main").withColumn("i", F.pmod(F.xxhash64("node"), "rows")).withColumn("j", each("columns"))
@@ -309,12 +311,13 @@ class Classes:
         own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")  # a null id comes last
         reps = self.sketches.groupBy("words").agg(F.min(own).alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
         self.reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
-        self.total = sum_of(self.reps, "n")
-        root = components(links(self.reps.select("node", "size", "bands"), self.texts))
+        self.copies = sum_and_most(self.reps, "n")
+        root = roots(self.reps.select("node", "size", "bands"), self.texts)
         found = self.reps.select("words", "node", "first", "size", "n").join(root.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         found = written(found.withColumn("id", F.col("first.doc_id")).drop("first"), "nodes")
         lows = written(found.groupBy("root").agg(F.count("*").alias("k"), F.min("id").alias("low")), "lows")
-        self.nodes = written(spread_join(found.withColumnRenamed("n", "_n"), lows.withColumnRenamed("k", "n"), "root", self.total).drop("n", "id").withColumnRenamed("_n", "n"), "nodes")
+        lows = lows.withColumnRenamed("k", "n")
+        self.nodes = written(spread_join(found.withColumnRenamed("n", "_n"), lows, "root", *sum_and_most(lows, "n")).drop("n", "id").withColumnRenamed("_n", "n"), "nodes")
 
     def texts(self, nodes: DataFrame) -> DataFrame:
         """``node, text`` of some nodes, the text being that of the row that comes first."""
@@ -326,7 +329,7 @@ class Classes:
     def rows(self) -> DataFrame:
         """``doc_id, mark, node, root, class_id`` for each row."""
         nodes = self.nodes.select("words", "n", "node", "root", F.col("low").alias("class_id"))
-        return spread_join(self.sketches.select("doc_id", "mark", "words"), nodes, "words", self.total).select("doc_id", "mark", "node", "root", "class_id")
+        return spread_join(self.sketches.select("doc_id", "mark", "words"), nodes, "words", *self.copies).select("doc_id", "mark", "node", "root", "class_id")
 
     def counted(self) -> DataFrame:
         """``node, n_links``: rows of other words in the class that are similar enough, over all pairs of the class."""

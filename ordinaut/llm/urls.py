@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import spread_join, sum_of, written
+from .common import spread_join, sum_and_most, written
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
@@ -80,10 +80,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     met = wanted.join(valid, (F.col("ask.kind") == F.col("kind")) & (F.col("ask.key") == F.col("key")) & since)
     met = written(met.select("ask", "n", "valid_from"), "met")
     # the intervals of a key hold no day twice
-    hits = spread_join(asked, met, "ask", sum_of(met, "n"))
+    hits = spread_join(asked, met, "ask", *sum_and_most(met, "n"))
     best = hits.groupBy("visit").agg(F.min(F.struct("rank", "ask.kind", "ask.key", "valid_from")).alias("k"))
     visits = written(own.join(best.hint("merge"), "visit", "left").select("visit", "n", "k"), "judged")
-    judged = spread_join(rows.where(has).select("page_id", F.struct("host", "path", "day").alias("visit")), visits, "visit", sum_of(visits, "n"))
+    judged = spread_join(rows.where(has).select("page_id", F.struct("host", "path", "day").alias("visit")), visits, "visit", *sum_and_most(visits, "n"))
     judged = judged.select("page_id", "visit.host", "visit.day", "k")
     rest = rows.where(~has).select("page_id", "host", "day", F.lit(None).cast(judged.schema["k"].dataType).alias("k"))
     return judged.unionAll(rest).select("page_id", "host", "day", F.col("k").isNotNull().alias("blocked"), "k.kind", "k.key", "k.valid_from")
