@@ -141,7 +141,7 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # groups ----------------------------------------------------------------------------------------------------------------
 query("group_transfer", _L + "SELECT block + 4 AS block, value FROM l WHERE block < 4", ranks)(lambda s: G.transfer(sums(s), G.first_n(4), G.last_n(4), BLOCKS))
-query("group_multicast", _L + "SELECT g AS group, t AS block, value FROM l, (VALUES (0, 1), (0, 3), (0, 5), (0, 7), (1, 6), (1, 7)) v(g, t) WHERE l.block = 0", ranks)(
+query("group_multicast", _L + "SELECT g AS group, cast(t AS BIGINT) AS block, value FROM l, (VALUES (0, 1), (0, 3), (0, 5), (0, 7), (1, 6), (1, 7)) v(g, t) WHERE l.block = 0", ranks)(
     lambda s: G.multicast(sums(s), G.first_only(), [G.every_nth(2, 1), G.last_n(2), G.nobody()], BLOCKS)
 )
 query("group_forward", _L + "SELECT cast(7 AS BIGINT) AS block, value + 3 AS value FROM l WHERE block = 1", ranks)(
