@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..partition import block_owner
+from .storage import written
 
 ROWS_PER_BLOCK = 1 << 20
 #: Blocks have one row each in what goes to the driver and back, so there is a bound to them; beyond it they grow.
@@ -152,6 +153,17 @@ def dense_index(df: DataFrame, order: Sequence[str | Key], n: int | None = None,
     return numbered(rows, [k.column for k in order], totals(rows, F.count("*")), name)
 
 
+def stored_index(df: DataFrame, order: Sequence[str | Key], columns: Sequence[Column], n: int, blocks: int | None = None) -> DataFrame:
+    """``idx`` and ``columns`` of ``df``, written once with the place of each row in its block: ``df`` is read for the sample
+    of its keys and once more, the counts of blocks come from what is written."""
+    order = keys(order)
+    own = F.row_number().over(Window.partitionBy("_block").orderBy(*(k.column for k in order)))
+    rows = written(by_order(df, order, n, blocks).withColumn("_row", own - 1).select("_block", "_row", *columns), "sequence")
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = totals(rows, F.count("*")).select("_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_begin"))
+    return rows.join(F.broadcast(begins), "_block").withColumn("idx", F.col("_row") + F.col("_begin")).select("idx", *rows.columns[2:])
+
+
 def kept_index(df: DataFrame, test: Column, n: int, blocks: int, idx: str = "idx") -> tuple[DataFrame, int]:
     """The rows that pass, numbered anew in the order of their index, and how many they are.  Two passes and no new order:
     the rows that pass are counted by block of the old index, and take their places after those of earlier blocks."""

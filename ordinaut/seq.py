@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .errors import InvalidArgument, NullValue
-from .plans.blockscan import Key, block_count, dense_index
-from .plans.storage import written
+from .plans.blockscan import Key, block_count, dense_index, stored_index
 
 
 @dataclass(frozen=True)
@@ -63,5 +62,7 @@ def from_ordered(df: DataFrame, order: Sequence[str | Key], value: Column, n_blo
     """Any table in a total order (end it with a unique key).  The sequence is written once, so that later steps read it and
     do not order the table again; without ``store`` it stays a plan, for what reads it once."""
     n = df.count()
-    rows = dense_index(df, order, n, n_blocks or None).select("idx", value.alias("value"), *keep)
-    return Seq(written(rows, "sequence") if store else rows, n, n_blocks)
+    columns = [value.alias("value"), *(F.col(c) for c in keep)]
+    if store:
+        return Seq(stored_index(df, order, columns, n, n_blocks or None), n, n_blocks)
+    return Seq(dense_index(df, order, n, n_blocks or None).select("idx", *columns), n, n_blocks)
